@@ -7,21 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import line_dedup, simhash
+from gridloom.llm import langid, line_dedup, mixing, secrets, simhash, sptok
 from gridloom.llm.common import table
 
 
+#: Weights of op3's tree: languages as given, domains and sources alike.
+MIX = {"budget_share": 0.6, "max_epochs": 2.0, "weights": {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}}
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), **MIX)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sptok.checked(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_simhash, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_mixing, op5_language_id, op7_simhash, op8_sentencepiece, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
