@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import langid, line_dedup, mixing, secrets, simhash, sptok
+from gridloom.llm import langid, line_dedup, mixing, nbsvm, permindex, quality_crf, secrets, simhash, sptok
 from gridloom.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return permindex.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), **MIX)
 
@@ -27,6 +32,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.screen(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,8 +49,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op10_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_mixing, op5_language_id, op7_simhash, op8_sentencepiece, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_permutation_index, op3_mixing, op5_language_id, op6_quality_rules, op7_simhash, op8_sentencepiece, op9_line_dedup, op10_nbsvm)}
 
 
 def oracle_sql() -> dict[str, str]:
