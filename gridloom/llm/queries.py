@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import langid, line_dedup, mixing, nbsvm, permindex, quality_crf, secrets, simhash, sptok
+from gridloom.llm import langid, licenses, line_dedup, mixing, nbsvm, permindex, quality_crf, secrets, simhash, sptok
 from gridloom.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), **MIX)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_permutation_index, op3_mixing, op5_language_id, op6_quality_rules, op7_simhash, op8_sentencepiece, op9_line_dedup, op10_nbsvm)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_permutation_index, op3_mixing, op4_license_scan, op5_language_id, op6_quality_rules, op7_simhash, op8_sentencepiece, op9_line_dedup, op10_nbsvm)}
 
 
 def oracle_sql() -> dict[str, str]:
