@@ -34,6 +34,14 @@ def normal_cdf(x: str) -> str:
     return f"CASE WHEN {x} >= 0 THEN 1 - 0.5e0 * {tail} ELSE 0.5e0 * {tail} END"
 
 
+def _long(d: Dialect) -> str:
+    """Features as rows: one pass over the panel in Spark."""
+    if d.spark:
+        pairs = ", ".join(f"'{n}', round({x}, 9)" for n, x in FEATURES.items())
+        return f"SELECT inst, dt, stack({len(FEATURES)}, {pairs}) AS (feature, value) FROM monthly"
+    return " UNION ALL ".join(f"SELECT inst, dt, '{n}' AS feature, round({x}, 9) AS value FROM monthly" for n, x in FEATURES.items())
+
+
 def steps(d: Dialect) -> dict[str, str]:
     """Named steps in order; each may read those before it."""
     back = "OVER (PARTITION BY inst ORDER BY dt)"
@@ -43,7 +51,7 @@ def steps(d: Dialect) -> dict[str, str]:
         "monthly": f"SELECT inst, dt, core, p, r, a, m3, m6, m12, x6, {d.std('r', 6)} AS v6, {d.stdp('a', 6)} AS av FROM alphas",
         "targets": f"SELECT inst, dt, fr AS forward_return, fa AS forward_alpha, fr - fa AS core_return, fa / greatest(coalesce(av, {FLOOR}), {FLOOR}) AS forward_ir "
         f"FROM (SELECT *, lead(r) {back} AS fr, lead(a) {back} AS fa FROM monthly) q WHERE inst <> core AND fa IS NOT NULL",
-        "feats": " UNION ALL ".join(f"SELECT inst, dt, '{n}' AS feature, round({x}, 9) AS value FROM monthly" for n, x in FEATURES.items()),
+        "feats": _long(d),
         "ranks": f"SELECT inst, dt, feature, {pct_rank('value', 'feature, dt')} AS pct_rank FROM feats",
         "dated_ir": "SELECT dt, avg(forward_ir) AS mean_ir FROM targets GROUP BY dt",
         "gate": "SELECT feature, count(value + mean_ir) AS n, count(DISTINCT CASE WHEN value IS NOT NULL AND mean_ir IS NOT NULL THEN dt END) AS n_dates, "

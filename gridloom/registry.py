@@ -10,9 +10,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def _load() -> None:
+    """Plan modules add their queries as they are imported."""
+    from gridloom.plans import filter_plans, portfolio_plans, quality_plans, relational_plans, signal_plans, strategy_plans  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return SQL
