@@ -31,6 +31,11 @@ SLICES = 1024
 DOC = ("doc_id", "th")
 
 
+def doc_key(doc_id: Column) -> Column:
+    """doc_id as a long that joins and sorts; the least one stands for null."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)).cast("long"))
+
+
 def _reach(lines: Column, enough: int) -> Column:
     """How many of the first lines hold ``enough`` words; null if all don't."""
     zero = F.struct(F.lit(0).cast("long").alias("w"), F.lit(0).alias("m"))
@@ -48,7 +53,7 @@ def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ),
         lambda c: c["w"] > 0,
     )
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), cells.alias("c"))
+    rows = docs.select(doc_key(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("th"), cells.alias("c"))
     ahead = lambda j: _reach(F.slice(F.col("c"), j + 1, F.lit(min_words)), min_words)
     back = lambda j: _reach(F.reverse(F.slice(F.col("c"), F.greatest(j + 2 - min_words, F.lit(1)), F.least(j + 1, F.lit(min_words)))), min_words)
     one = lambda c, f, j: F.when(c["w"] >= min_words, F.lit(1)).otherwise(f(j))
@@ -114,7 +119,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = docs.select(F.col("doc_id"), F.col("text"))
     gone = repeated_lines(named, min_words).groupBy(*DOC).agg(F.sort_array(F.collect_set("i")).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    both = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left")
+    both = docs.join(gone, (doc_key(docs["doc_id"]) == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left")
     lines = F.split(docs["text"], "\n", -1)
     stops = F.concat(F.array(F.lit(-1)), F.col("__gone"), F.array(F.size(lines)))
     left = F.flatten(F.transform(F.sequence(F.lit(1), F.size("__gone") + 1), lambda t: F.slice(lines, F.element_at(stops, t) + 2, F.element_at(stops, t + 1) - F.element_at(stops, t) - 1)))

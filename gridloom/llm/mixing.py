@@ -133,5 +133,5 @@ def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
 def choose(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The rows of docs that are taken at least once, each once, with the columns of docs."""
     plan, _ = cuts(docs, seed=seed, **options)
-    leaves = leaf_columns(docs)
-    return with_cuts(docs.select("*", *leaves), plan).where(copies(seed) > 0).select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"], *leaf_columns(docs))  # so that no column's name can clash
+    return with_cuts(rows, plan).where(copies(seed) > 0).select(*[F.col("row")[c].alias(c) for c in docs.columns])
