@@ -19,7 +19,7 @@ REPORTS = {
     "dq_coverage_by_date": lambda d: f"{_LIVE} SELECT dt, count(p) AS n_prices, {d.out('1.0e0 * count(p) / count(*)')} AS coverage FROM live GROUP BY dt",
     "dq_outliers": lambda d: f"{_SEEN} SELECT inst, count(*) AS n, count(CASE WHEN abs(p / NULLIF(was, 0) - 1) > 0.1 THEN 1 END) AS n_outliers, {d.out('100.0e0 * sum(CASE WHEN abs(p / NULLIF(was, 0) - 1) > 0.1 THEN 1 ELSE 0 END) / count(*)')} AS pct FROM seen WHERE was IS NOT NULL GROUP BY inst",
     "dq_history": lambda d: f"back AS (SELECT *, row_number() OVER (PARTITION BY inst ORDER BY dt DESC) AS j FROM panel) SELECT inst, {', '.join(f'sum(CASE WHEN j <= {2 * w} AND p IS NOT NULL THEN 1 ELSE 0 END) >= {w} AS enough_{w}' for w in (21, 63, 126, 252, 504, 756, 1260))} FROM back GROUP BY inst",
-    "dq_price_levels": lambda d: "back AS (SELECT *, row_number() OVER (PARTITION BY inst ORDER BY dt DESC) AS j FROM panel WHERE p IS NOT NULL) SELECT inst, round(p, 7) AS p, p < 1 AS low, p > 1000 AS high FROM back WHERE j = 1",
+    "dq_price_levels": lambda d: "back AS (SELECT *, row_number() OVER (PARTITION BY inst ORDER BY dt DESC) AS j FROM panel WHERE p IS NOT NULL) SELECT inst, p, p < 1 AS low, p > 1000 AS high FROM back WHERE j = 1",
     "dq_gap_stale": lambda d: f"{_SEEN}, g AS (SELECT inst, max({_days(d, 'dt', 'before')}) AS longest_gap, count(*) AS n, max(dt) AS last_dt FROM seen GROUP BY inst) SELECT inst, CAST(longest_gap AS BIGINT) AS longest_gap, n, longest_gap > 10 AS gappy, {_days(d, '(SELECT max(dt) FROM panel)', 'last_dt')} > 7 AS stale, n < 252 AS short, 1.0e0 * n / (SELECT count(DISTINCT dt) FROM panel) < 0.85 AS sparse FROM g",
     "dq_core_stats": lambda d: f"{_SEEN}, r AS (SELECT inst, p / NULLIF(was, 0) - 1 AS r FROM seen WHERE was IS NOT NULL) SELECT inst, {d.out('avg(r) * 252')} AS ann_return, {d.out('stddev_samp(r) * sqrt(252)')} AS volatility, {d.out(d.div('avg(r) * 252', 'stddev_samp(r) * sqrt(252)'))} AS sharpe FROM r GROUP BY inst",
     "dq_db_diff": lambda d: "o AS (SELECT inst, dt, p FROM panel WHERE p IS NOT NULL AND day(dt) <> 5), n AS (SELECT inst, dt, CASE WHEN day(dt) = 9 THEN p * 1.02e0 ELSE p END AS p FROM panel WHERE p IS NOT NULL AND day(dt) <> 6), j AS (SELECT coalesce(o.inst, n.inst) AS inst, o.p AS a, n.p AS b FROM o FULL JOIN n ON o.inst = n.inst AND o.dt = n.dt) "

@@ -10,7 +10,7 @@ from gridloom.sources import panels
 
 UNIVERSE = "SELECT s_suppkey AS isin, s_name AS name, s_acctbal AS fund_size, n_name AS exchange, CAST(s_suppkey % 60 AS INT) AS months_of_data FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 PRICES = panels.FACTS["daily"][0]
-PRICES_SQL = f"SELECT inst AS isin, dt, round(p, 7) AS price FROM ({PRICES}) q"
+PRICES_SQL = f"SELECT inst AS isin, dt, p AS price FROM ({PRICES}) q"
 DELTA_SQL = "SELECT isin + 2 AS isin, name, CASE WHEN isin % 3 = 0 THEN NULL ELSE fund_size + 1 END AS fund_size, CASE WHEN isin % 2 = 0 THEN NULL ELSE 'new' END AS exchange, months_of_data FROM u WHERE isin % 4 = 0"
 
 
@@ -69,11 +69,11 @@ def upsert_coalesce(spark, sf_dir):
 _FACT_DELTA = "SELECT isin, dt, CASE WHEN day(dt) = 1 THEN NULL ELSE price * 2 END AS price FROM f WHERE day(dt) <= 3"
 
 
-@add("replace_facts", f"WITH f AS ({PRICES_SQL}), d AS (SELECT * FROM ({_FACT_DELTA}) q WHERE price IS NOT NULL) SELECT f.isin, f.dt, round(coalesce(d.price, f.price), 7) AS price FROM f LEFT JOIN d ON f.isin = d.isin AND f.dt = d.dt")
+@add("replace_facts", f"WITH f AS ({PRICES_SQL}), d AS (SELECT * FROM ({_FACT_DELTA}) q WHERE price IS NOT NULL) SELECT f.isin, f.dt, coalesce(d.price, f.price) AS price FROM f LEFT JOIN d ON f.isin = d.isin AND f.dt = d.dt")
 def replace_facts(spark, sf_dir):
     f = _sql(spark, sf_dir, PRICES_SQL)
     f.createOrReplaceTempView("f")
-    return rel.replace_facts(f, spark.sql(_FACT_DELTA), ["isin", "dt"]).select("isin", "dt", F.round("price", 7).alias("price"))
+    return rel.replace_facts(f, spark.sql(_FACT_DELTA), ["isin", "dt"]).select("isin", "dt", "price")
 
 
 @add("snapshot_ignore", f"WITH u AS ({UNIVERSE}), s AS (SELECT isin, DATE '2024-01-31' AS snapshot_date, fund_size FROM u WHERE isin % 2 = 0) SELECT * FROM s UNION ALL SELECT isin, DATE '2024-01-31', fund_size * 2 FROM u WHERE isin NOT IN (SELECT isin FROM s)")
@@ -145,19 +145,16 @@ def last_row_per_month(spark, sf_dir):
     return f.groupBy("isin", F.trunc("dt", "month").alias("month")).agg(F.max_by("price", "dt").alias("price"))
 
 
-_EDGE = "inst, dt, round(p, 6) + 0.0e0 AS p"
-
-
-@add("ffill_bfill", f"WITH {panels.ctes('daily')} SELECT inst, dt, round(last_value(p IGNORE NULLS) OVER (PARTITION BY inst ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 7) AS ffilled, round(first_value(p IGNORE NULLS) OVER (PARTITION BY inst ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 7) AS bfilled FROM panel")
+@add("ffill_bfill", f"WITH {panels.ctes('daily')} SELECT inst, dt, last_value(p IGNORE NULLS) OVER (PARTITION BY inst ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ffilled, first_value(p IGNORE NULLS) OVER (PARTITION BY inst ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bfilled FROM panel")
 def ffill_bfill(spark, sf_dir):
     from gridloom.functions.sql import SPARK
 
-    return panels.panel(spark, sf_dir, "daily").selectExpr("inst", "dt", f"round({SPARK.last('p')}, 7) AS ffilled", f"round({SPARK.next('p')}, 7) AS bfilled")
+    return panels.panel(spark, sf_dir, "daily").selectExpr("inst", "dt", f"{SPARK.last('p')} AS ffilled", f"{SPARK.next('p')} AS bfilled")
 
 
-for _name, _panel in (("panel_monthly", "monthly"), ("panel_daily_grid", "daily"), ("panel_users", "users")):
-    QUERIES[_name] = lambda spark, sf_dir, p=_panel: panels.panel(spark, sf_dir, p).selectExpr("inst", "dt", "round(p, 7) AS p", "round(cp, 4) AS cp")
-    SQL[_name] = f"WITH {panels.ctes(_panel)} SELECT inst, dt, round(p, 7) AS p, round(cp, 4) AS cp FROM panel"
+for _name, _panel, _k in (("panel_monthly", "monthly", 12), ("panel_daily_grid", "daily", 12), ("panel_users", "users", 6)):
+    QUERIES[_name] = lambda spark, sf_dir, p=_panel, k=_k: panels.panel(spark, sf_dir, p).selectExpr("inst", "dt", *[f"round({c}, {k}) AS {c}" if k < 12 else c for c in ("p", "cp")])
+    SQL[_name] = f"WITH {panels.ctes(_panel)} SELECT inst, dt, {', '.join(f'round({c}, {_k}) AS {c}' if _k < 12 else c for c in ('p', 'cp'))} FROM panel"
 
 #: Queries whose text both engines share.
 PORTABLE = {

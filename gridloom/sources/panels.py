@@ -10,18 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.functions.sql import DUCK, SPARK, Dialect
 
+#: Sums of money and quantities are exact, so a price doesn't hang on the order of rows.
+PRICE = "CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE)"
+
 #: name: (facts with inst, dt, p; core instrument, forward filled?)
 FACTS = {
     "monthly": (
-        "SELECT CAST(l_suppkey AS BIGINT) AS inst, CAST(last_day(l_shipdate) AS DATE) AS dt, sum(l_extendedprice) / sum(l_quantity) AS p FROM lineitem GROUP BY 1, 2",
+        f"SELECT CAST(l_suppkey AS BIGINT) AS inst, CAST(last_day(l_shipdate) AS DATE) AS dt, {PRICE} AS p FROM lineitem GROUP BY 1, 2",
         "min(inst)",
     ),
     "daily": (
-        "SELECT p_brand AS inst, CAST(l_shipdate AS DATE) AS dt, sum(l_extendedprice) / sum(l_quantity) AS p FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
+        f"SELECT p_brand AS inst, CAST(l_shipdate AS DATE) AS dt, {PRICE} AS p FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
         "min(inst)",
     ),
     "regional": (
-        "SELECT CAST(n_regionkey AS BIGINT) AS inst, CAST(l_shipdate AS DATE) AS dt, sum(l_extendedprice) / sum(l_quantity) AS p "
+        f"SELECT CAST(n_regionkey AS BIGINT) AS inst, CAST(l_shipdate AS DATE) AS dt, {PRICE} AS p "
         "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2",
         "min(inst)",
     ),
