@@ -95,7 +95,7 @@ def windowed_oscillators(d: Dialect) -> list[dict]:
     second = {"up": "CASE WHEN dp IS NOT NULL THEN greatest(dp, 0.0e0) END", "dn": "CASE WHEN dp IS NOT NULL THEN greatest(-dp, 0.0e0) END", "e1": ema_window(d, "p", 15, 60), "da": "abs(dp)"}
     third = {"gain": ema_window(d, "up", 27, 120), "loss": ema_window(d, "dn", 27, 120), "t1": ema_window(d, "dp", 25, 60), "t2": ema_window(d, "da", 25, 60), "e2": ema_window(d, "e1", 15, 60)}
     fourth = {"rsi_14": "CASE WHEN gain IS NULL THEN NULL WHEN loss < 1e-12 THEN 100.0e0 ELSE 100 - 100 / (1 + gain / NULLIF(loss, 0)) END", "u1": ema_window(d, "t1", 13, 40), "u2": ema_window(d, "t2", 13, 40), "e3": ema_window(d, "e2", 15, 60)}
-    return [first, second, third, fourth, {"rsi_reversion": "50 - rsi_14", "tsi": f"100 * {d.div('u1', 'u2')}", "trix": f"100 * ({d.div('e3', d.lag('e3'))} - 1)"}]
+    return [first, second, third, fourth, {"rsi_reversion": "50 - rsi_14", "tsi": f"100 * {d.div('u1', 'u2')}", "trix": f"100 * ({d.div('e3', d.lag('e3'))} - 1)"}, {"tsi_signal": ema_window(d, "tsi", 7, 20), "trix_signal": ewm_window(d, "trix", 9, 30)}]
 
 
 # recursive filters over whole series ------------------------------------------------------------------------------------
@@ -225,25 +225,88 @@ def regime_switch(x, fast=10, slow=50):
     return np.where((ratio > 1) & ~broken, ema(x, fast), ema(x, slow))
 
 
+def rolled_mean(x, span):
+    """Mean of what is there among the last rows, from row span + 1 on."""
+    y = pd.Series(x).rolling(span, min_periods=1).mean().to_numpy(copy=True)
+    y[:span] = np.nan
+    return _masked(y, x)
+
+
+def weighted(x, weights):
+    w = np.asarray(weights)
+    y = np.full(len(x), np.nan)
+    if len(x) >= len(w):
+        y[len(w) - 1 :] = np.lib.stride_tricks.sliding_window_view(x, len(w)) @ w
+    return y
+
+
+def hull(x, span, orientation="recent"):
+    half, root = max(2, span // 2), max(2, math.isqrt(span))
+    return weighted(2 * weighted(x, wma_weights(half, orientation)) - weighted(x, wma_weights(span, orientation)), wma_weights(root, orientation))
+
+
+def trima(x, span):
+    return rolled_mean(rolled_mean(x, span), max(2, span // 2))
+
+
+def gauss(x, span, orientation="recent"):
+    """Half of the rows must be there; missing ones count as 0."""
+    y = weighted(np.nan_to_num(x), gauss_weights(span, orientation))
+    share = pd.Series(~np.isnan(x)).astype(float).rolling(span).mean().to_numpy()
+    return _masked(np.where(share >= 0.5, y, np.nan), x)
+
+
+def moving_median(x, span):
+    y = pd.Series(x).rolling(span, min_periods=1).median().to_numpy(copy=True)
+    y[: span - 1] = np.nan
+    return _masked(y, x)
+
+
+def savgol(x, span, order=2):
+    return _savgol(np.asarray(x, dtype=float), np.array(savgol_weights(span, order)))
+
+
 def _both(name: str, f: Callable, **more) -> dict:
     return {f"{name}_{w}d": (f, {"span": w} | more) for w in (21, 63)}
 
 
 #: Filter name to (function of one series, arguments). ``raw`` is the identity.
-RECURSIVE: dict[str, tuple[Callable, dict]] = (
+FILTERS: dict[str, tuple[Callable, dict]] = (
     {"raw": (lambda x: x, {}), "regime_10_50": (regime_switch, {}), "butter_21d": (butterworth, {"cutoff": 21}), "butter_63d": (butterworth, {"cutoff": 63})}
     | {"kalman_fast": (kalman_steady, {"q": 0.1}), "kalman_slow": (kalman_steady, {"q": 0.01}), "kalman_full": (kalman, {}), "kama_21d": (kama, {"period": 21}), "adaptive_ema": (ema, {"span": 63})}
-    | _both("ema", ema) | _both("dema", dema) | _both("tema", tema) | _both("zlema", zlema)
+    | _both("ema", ema) | _both("dema", dema) | _both("tema", tema) | _both("zlema", zlema) | _both("hull", hull) | _both("trima", trima) | _both("gauss", gauss)
+    | _both("median", moving_median) | _both("savgol", savgol, order=3) | _both("sma", rolled_mean)
 )
 
 
 def available() -> list[str]:
-    return sorted(RECURSIVE)
+    return sorted(FILTERS)
 
 
 def get(name: str) -> tuple[Callable, dict]:
     """KeyError for an unknown name."""
-    return RECURSIVE[name]
+    return FILTERS[name]
+
+
+def describe() -> dict[str, dict]:
+    """Name to the function's name and its arguments."""
+    return {n: {"function": f.__name__, **kw} for n, (f, kw) in FILTERS.items()}
+
+
+def smoothed(panel: DataFrame, signals: list[str], names: list[str], done: DataFrame | None = None) -> DataFrame:
+    """(inst, dt, signal, value) for every pair of a signal column and a filter, named ``{signal}__{filter}``; those in done(signal) are left out."""
+    skip = {r[0] for r in done.select("signal").distinct().collect()} if done is not None else set()
+    pairs = [(c, n) for c in signals for n in names if f"{c}__{n}" not in skip]
+    kind = panel.schema["inst"].dataType.simpleString()
+    chosen = {n: get(n) for n in names}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("dt")
+        parts = [pd.DataFrame({"inst": pdf["inst"], "dt": pdf["dt"], "signal": f"{c}__{n}", "value": chosen[n][0](pdf[c].to_numpy(dtype=float), **chosen[n][1])}) for c, n in pairs]
+        return pd.concat(parts) if parts else pd.DataFrame({"inst": pdf["inst"][:0], "dt": pdf["dt"][:0], "signal": [], "value": []})
+
+    out = panel.select("inst", "dt", *signals).groupBy("inst").applyInPandas(run, f"inst {kind}, dt date, signal string, value double")
+    return out.selectExpr("inst", "dt", "signal", "nanvl(value, NULL) AS value")
 
 
 def recursive(panel: DataFrame, names: list[str], value: str = "p") -> DataFrame:

@@ -11,13 +11,15 @@ from gridloom.registry import QUERIES, SQL
 from gridloom.sources import panels
 
 KEYS = ("inst", "dt")
+#: Prices and medians of an odd number of prices: no arithmetic that could differ.
+EXACT = ("x_raw", "median_5", "median_21")
 
 
 def _family(name):
     program, hidden = filters.FAMILIES[name]
     shown = signals.names(program, hidden, SPARK)
-    QUERIES[name] = lambda spark, sf_dir: finish(apply(panels.panel(spark, sf_dir, "regional", True), program(SPARK)), KEYS, shown, 4)
-    SQL[name] = text(panels.ctes("regional", True), program(DUCK), KEYS, signals.names(program, hidden, DUCK), 4)
+    QUERIES[name] = lambda spark, sf_dir: finish(apply(panels.panel(spark, sf_dir, "regional", True), program(SPARK)), KEYS, shown, 4, EXACT)
+    SQL[name] = text(panels.ctes("regional", True), program(DUCK), KEYS, signals.names(program, hidden, DUCK), 4, EXACT)
 
 
 for _n in filters.FAMILIES:
@@ -25,11 +27,11 @@ for _n in filters.FAMILIES:
 
 
 def xs_indicators_25(spark, sf_dir):
-    return finish(apply(panels.panel(spark, sf_dir, "monthly"), indicators.stages(SPARK)), KEYS, indicators.NAMES, 4)
+    return finish(apply(panels.panel(spark, sf_dir, "monthly"), indicators.stages(SPARK)), KEYS, indicators.NAMES, 4, EXACT)
 
 
 QUERIES["xs_indicators_25"] = xs_indicators_25
-SQL["xs_indicators_25"] = text(panels.ctes("monthly"), indicators.stages(DUCK), KEYS, indicators.NAMES, 4)
+SQL["xs_indicators_25"] = text(panels.ctes("monthly"), indicators.stages(DUCK), KEYS, indicators.NAMES, 4, EXACT)
 
 
 def _recursive(name, chosen):
@@ -43,6 +45,7 @@ def _recursive(name, chosen):
 _recursive("ema_dema_tema_zlema", ["ema_21d", "dema_21d", "tema_21d", "zlema_21d", "ema_63d", "dema_63d", "tema_63d", "zlema_63d", "adaptive_ema"])
 _recursive("kalman_butterworth", ["kalman_fast", "kalman_slow", "kalman_full", "butter_21d", "butter_63d"])
 _recursive("kama_regime", ["kama_21d", "regime_10_50", "raw"])
+_recursive("registry_finite", ["hull_21d", "hull_63d", "trima_21d", "trima_63d", "gauss_21d", "gauss_63d", "median_21d", "median_63d", "savgol_21d", "savgol_63d", "sma_21d", "sma_63d"])
 
 #: EMA(21) over the filled panel by a recursive query, row by row.
 _EMA = "r0 AS (SELECT inst, dt, p, row_number() OVER (PARTITION BY inst ORDER BY dt) AS i FROM panel WHERE p IS NOT NULL), walk AS (SELECT inst, dt, i, p AS e FROM r0 WHERE i = 1 UNION ALL SELECT r0.inst, r0.dt, r0.i, walk.e + (2.0e0 / 22) * (r0.p - walk.e) FROM walk JOIN r0 ON r0.inst = walk.inst AND r0.i = walk.i + 1)"
