@@ -26,36 +26,38 @@ def fill(budget, caps, weights):
     return {k: got.get(k, 0.0) for k in caps}
 
 
-def test_budgets_and_prefixes(spark):
-    rng = random.Random(4)
-    rows = []
-    for i in range(900):
-        source = "hot" if i % 3 == 0 else f"s{rng.randrange(8)}"
-        rows.append((i, " ".join(["w"] * rng.randrange(0, 40)), rng.choice(("en", "en", "de", "fr", "xx")), source, f"d{rng.randrange(3)}"))
-    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string")
-    out = mixing.mix(d, budget_share=0.7, max_epochs=2.0, weights=WEIGHTS).collect()
+def plain_copies(rows, share, epochs, weights):
+    """doc_id to the times it is taken; rows: (doc_id, text, lang, source, domain)."""
     leaf = defaultdict(list)
     for i, t, lang, source, domain in rows:
-        leaf[domain, lang, source].append((i, len(t.split())))
+        leaf[domain, lang, source].append((i, len(t.encode().split())))
     tokens = {k: sum(n for _, n in v) for k, v in leaf.items()}
-    total = 0.7 * sum(tokens.values())
-    w = lambda lang: WEIGHTS["lang"].get(lang, 0)
-    by = lambda keys: {k: 2 * sum(n for q, n in tokens.items() if q[: len(k)] == k) for k in keys}
-    domains = fill(total, by({k[:1] for k in leaf}), defaultdict(lambda: 1.0))
+    by = lambda keys: {k: epochs * sum(n for q, n in tokens.items() if q[: len(k)] == k) for k in keys}
     want = defaultdict(int)
-    for dom, b in domains.items():
+    domains = by({k[:1] for k in leaf})
+    for dom, b in fill(share * sum(tokens.values()), domains, defaultdict(lambda: 1.0)).items():
         langs = by({k[:2] for k in leaf if k[:1] == dom})
-        for lang, b2 in fill(b, langs, {k: w(k[1]) for k in langs}).items():
+        for lang, b2 in fill(b, langs, {k: weights["lang"].get(k[1], 0) for k in langs}).items():
             for k, b3 in fill(b2, by({q for q in leaf if q[:2] == lang}), defaultdict(lambda: 1.0)).items():
                 budget = int(b3 + 1e-6)
                 full = budget // tokens[k] if tokens[k] else 0
                 rest, at = budget - full * tokens[k], 0
-                order = sorted(leaf[k], key=lambda x: hashlib.md5(f"{mixing.SEED}:{full}:{x[0]}".encode()).hexdigest())
-                for i, n in order:
+                for i, n in sorted(leaf[k], key=lambda x: hashlib.md5(f"{mixing.SEED}:{full}:{x[0]}".encode()).hexdigest()):
                     want[i] += full + (at < rest)
                     at += n
+    return {k: v for k, v in want.items() if v}
+
+
+def test_budgets_and_prefixes(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(900):
+        source = "hot" if i % 3 == 0 else f"s{rng.randrange(8)}"
+        rows.append((i, " ".join(["w"] * rng.randrange(0, 40)), rng.choice(("en", "en", "de", "fr", "xx")), source, f"d{rng.randrange(3)}"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string")
+    out = mixing.mix(d, budget_share=0.7, max_epochs=2.0, weights=WEIGHTS).collect()
     got = defaultdict(int)
     for r in out:
         got[r["doc_id"]] += 1
-    assert {k: v for k, v in want.items() if v} == dict(got)
+    assert plain_copies(rows, 0.7, 2, WEIGHTS) == dict(got)
     assert max(r["epoch"] for r in out) >= 1
