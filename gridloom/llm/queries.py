@@ -57,9 +57,24 @@ def op10_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: op9 in SQL: the least runs of 50 words that start and end with each line, all but the first place of each, and the lines that they hold.
+OP9_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+j AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS c, sum(n) OVER (PARTITION BY doc_id) AS total FROM w WHERE n > 0),
+m AS (SELECT *, count(*) OVER (PARTITION BY doc_id ORDER BY c - n RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS ms, count(*) OVER (PARTITION BY doc_id ORDER BY c RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) AS me FROM j),
+runs AS (SELECT doc_id, j AS s, ms AS k FROM m WHERE total - (c - n) >= 50 UNION SELECT doc_id, j - me + 1, me FROM m WHERE c >= 50),
+named AS (SELECT r.doc_id, r.s, r.k, list(j.line ORDER BY j.j) AS lines FROM runs r JOIN j ON j.doc_id = r.doc_id AND j.j >= r.s AND j.j < r.s + r.k GROUP BY ALL),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lines ORDER BY doc_id, s) AS place FROM named) q WHERE place > 1),
+gone AS (SELECT DISTINCT j.doc_id, j.i FROM later r JOIN j ON j.doc_id = r.doc_id AND j.j >= r.s AND j.j < r.s + r.k)
+SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text, count(*) AS n_lines, count(g.i) AS n_removed
+FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secret_scan, op2_permutation_index, op3_mixing, op4_license_scan, op5_language_id, op6_quality_rules, op7_simhash, op8_sentencepiece, op9_line_dedup, op10_nbsvm)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": OP9_SQL}
