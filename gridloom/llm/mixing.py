@@ -33,7 +33,8 @@ BROADCAST_LEAVES = 20_000
 
 def domain_of(source: Column, domains: int = 4) -> Column:
     """A domain for a source where the table has none: a fixed hash of its name."""
-    return F.concat(F.lit("domain"), (F.crc32(F.coalesce(source, F.lit(""))) % domains).cast("string"))
+    digit = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.coalesce(source, F.lit(""))), 1, 1)) - 1
+    return F.concat(F.lit("domain"), (digit % domains).cast("string"))
 
 
 def leaf_columns(docs: DataFrame) -> list[Column]:

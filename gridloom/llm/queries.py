@@ -72,9 +72,37 @@ FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
 """
 
 
+def _op3_sql() -> str:
+    """op3 in SQL: each level's closed form, then every leaf's order."""
+    langs = " ".join(f"WHEN '{k}' THEN {w!r}" for k, w in MIX["weights"]["lang"].items())
+    weights = {"domain": "1.0", "lang": f"CASE lang {langs} ELSE 0.0 END", "source": "1.0"}
+    ctes = [
+        "d AS (SELECT doc_id, 'domain' || CAST((instr('0123456789abcdef', substr(md5(coalesce(source, '')), 1, 1)) - 1) % 4 AS VARCHAR) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, "
+        r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents)",
+        "leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM d GROUP BY ALL)",
+        f"b0 AS (SELECT 0 AS root, CAST(sum(tokens) * {MIX['budget_share']} AS DOUBLE) AS budget FROM leaves)",
+    ]
+    names = ("domain", "lang", "source")
+    for i, n in enumerate(names, 1):
+        keys, parent = ", ".join(names[:i]), ", ".join(names[: i - 1]) or "root"
+        w = f"(PARTITION BY {parent} ORDER BY CASE WHEN weight > 0 THEN cap / weight END NULLS LAST, {n} ROWS BETWEEN"
+        ctes += [
+            f"c{i} AS (SELECT c.*, b.budget AS pb{', 0 AS root' if i == 1 else ''} FROM (SELECT {keys}, sum(tokens) * {MIX['max_epochs']} AS cap, {weights[n]} AS weight FROM leaves GROUP BY {keys}) c JOIN b{i - 1} b {'ON true' if i == 1 else f'USING ({parent})'})",
+            f"r{i} AS (SELECT *, CASE WHEN weight > 0 THEN cap ELSE 0 END AS u, (pb - coalesce(sum(CASE WHEN weight > 0 THEN cap ELSE 0 END) OVER {w} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(greatest(weight, 0)) OVER {w} CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS rate FROM c{i})",
+            f"f{i} AS (SELECT *, CASE WHEN weight > 0 THEN cap / weight <= rate ELSE true END AS done FROM r{i})",
+            f"b{i} AS (SELECT {keys}, CASE WHEN done THEN u ELSE weight * (pb - sum(CASE WHEN done THEN u ELSE 0 END) OVER (PARTITION BY {parent})) / nullif(sum(CASE WHEN done THEN 0 ELSE weight END) OVER (PARTITION BY {parent}), 0) END AS budget FROM f{i})",
+        ]
+    ctes += [
+        "p AS (SELECT *, CASE WHEN tokens > 0 THEN CAST(floor(whole / tokens) AS BIGINT) ELSE 0 END AS epochs FROM (SELECT leaves.*, CAST(floor(budget + 1e-6) AS BIGINT) AS whole FROM leaves JOIN b3 USING (domain, lang, source)) q)",
+        f"o AS (SELECT d.*, epochs, whole - epochs * tokens AS rest, md5(concat_ws(':', '{mixing.SEED}', CAST(epochs AS VARCHAR), CAST(doc_id AS VARCHAR))) AS k FROM d JOIN p USING (domain, lang, source))",
+        "t AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)",
+    ]
+    return f"WITH {', '.join(ctes)} SELECT doc_id, domain, lang, source, n_tokens, unnest(range(epochs + CASE WHEN before < rest THEN 1 ELSE 0 END)) AS epoch FROM t"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secret_scan, op2_permutation_index, op3_mixing, op4_license_scan, op5_language_id, op6_quality_rules, op7_simhash, op8_sentencepiece, op9_line_dedup, op10_nbsvm)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op3_mixing": _op3_sql(), "op9_line_dedup": OP9_SQL}
