@@ -44,11 +44,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A DataFrame written as a Parquet table in the shared folder: lineage ends there, and any executor can reread it."""
+    """A DataFrame written as a Parquet table in the shared folder: lineage ends there, and any executor can reread it.
+
+    Tables that a returned DataFrame still reads stay, in one folder for each application, which can go when that has ended."""
 
     def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
-        self.path = f"{scratch_dir(self.spark)}/gridloom/{tag}-{uuid.uuid4().hex}"
+        self.path = f"{scratch_dir(self.spark)}/gridloom-{self.spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
