@@ -17,10 +17,9 @@ Defined results: null text gives null ids and null text; '' gives no ids; every
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +27,11 @@ from gridloom.llm import pieces
 from gridloom.llm.common import Scratch
 
 CHUNK = 32_768
-#: Units that a worker holds before it starts anew, and the longest unit that it holds.
-HELD_UNITS = 250_000
+#: Units that a worker holds in each of two generations, and the longest unit that it holds.
+HELD_UNITS = 200_000
 HELD_LENGTH = 32
+#: Bytes of text encoded, and four times the ids decoded, at once.
+PART = 2_000_000
 NEVER = float("-inf")
 
 
@@ -39,89 +40,122 @@ class Encoder:
 
     def __init__(self, vocabulary: pieces.Pieces):
         self.v = vocabulary
-        self.held: dict[str, tuple[int, ...]] = {}
-        self.edges = {p: (vocabulary.scores[i], i) for p, i in vocabulary.ids.items()}
+        self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.sums: dict[str, float] = {}
+        #: Scores of pieces, and NEVER for what only begins one: the search ends where a string begins none.
+        self.score = {p[:k]: NEVER for p in vocabulary.ids for k in range(1, len(p))} | {p: vocabulary.scores[i] for p, i in vocabulary.ids.items()}
 
     def best(self, s: str, start: int, stop: int, last: int) -> tuple[list[float], list[int]]:
         """Best sums, and starts of the last piece, for boundaries start..last of s, with piece starts before ``stop``; indexes from start."""
-        n = last - start
+        n, core = last - start, stop - start
         total, came = [NEVER] * (n + 1), [-1] * (n + 1)
         total[0] = 0.0
-        get, longest, unknown = self.edges.get, self.v.longest, self.v.unknown
-        for j in range(1, n + 1):
-            high, from_ = NEVER, -1
-            for i in range(max(0, j - longest), j):
-                t = total[i]
-                if t == NEVER or start + i >= stop:
-                    continue
-                e = get(s[start + i : start + j])
-                if e is not None:
-                    if t + e[0] > high:
-                        high, from_ = t + e[0], i
-                elif i == j - 1 and t + unknown > high:
-                    high, from_ = t + unknown, i
-            total[j], came[j] = high, from_
+        get, longest, unknown = self.score.get, self.v.longest, self.v.unknown
+        part = s[start:last]
+        for i in range(min(n, core)):
+            t = total[i]
+            if t == NEVER:
+                continue
+            j, most = i + 1, min(n, i + longest)
+            e = get(part[i:j])
+            if (e is None or e == NEVER) and t + unknown > total[j]:
+                total[j] = t + unknown
+                came[j] = i
+            while e is not None:
+                e += t
+                if e > total[j]:
+                    total[j] = e
+                    came[j] = i
+                if j == most:
+                    break
+                j += 1
+                e = get(part[i:j])
         return total, came
 
     def trace(self, s: str, start: int, came: list[int], end: int) -> list[int]:
         """Ids of the path that ends at boundary ``end`` (from start)."""
-        out = []
+        out: list[int] = []
+        get = self.v.ids.get
         while end > 0:
             i = came[end]
             part = s[start + i : start + end]
-            e = self.edges.get(part)
-            out.append([e[1]] if e else [self.v.byte_ids[b] for b in part.encode()])
+            e = get(part)
+            if e is None:
+                out.extend(self.v.byte_ids[b] for b in reversed(part.encode()))
+            else:
+                out.append(e)
             end = i
-        return list(chain.from_iterable(reversed(out)))
+        return out[::-1]
 
-    def unit(self, u: str) -> tuple[int, ...]:
-        ids = self.held.get(u)
+    def unit(self, u: str) -> bytes:
+        """A unit's ids as 32-bit integers. Held units are in two generations; the older one goes when the newer one is full."""
+        ids = self.older.get(u)
         if ids is None:
             _, came = self.best(u, 0, len(u), len(u))
-            ids = tuple(self.trace(u, 0, came, len(u)))
-            if len(u) <= HELD_LENGTH:
-                if len(self.held) >= HELD_UNITS:
-                    self.held.clear()
-                self.held[u] = ids
+            ids = np.array(self.trace(u, 0, came, len(u)), dtype="<i4").tobytes()
+        if len(u) <= HELD_LENGTH:
+            if len(self.held) >= HELD_UNITS:
+                self.older, self.held = self.held, {}
+            self.held[u] = ids
         return ids
 
+    def sum_of(self, u: str) -> float:
+        """A unit's best sum."""
+        t = self.sums.get(u)
+        if t is None:
+            t = self.best(u, 0, len(u), len(u))[0][-1]
+            if len(u) <= HELD_LENGTH:
+                if len(self.sums) >= HELD_UNITS:
+                    self.sums.clear()
+                self.sums[u] = t
+        return t
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.array([], dtype=np.int32)
-        held, slow = self.held, self.unit
-        got = [held.get(u) or slow(u) for u in pieces.UNIT.findall(" " + text)]
-        return np.fromiter(chain.from_iterable(got), dtype=np.int32)
+        slow = self.unit
+        return np.frombuffer(b"".join([self.held.get(u) or slow(u) for u in pieces.UNIT.findall(" " + text)]), dtype="<i4")
 
     def transfer(self, s: str, core: int, entry: int) -> list[tuple[int, int, float]]:
         """Finite entries (in, out, sum) of a chunk's matrix. s: the chunk and what follows it, as far as a piece can reach; core: the chunk's
         length; entry: largest border state at its start."""
         reach = min(len(s), core + self.v.longest - 1)
-        inner = [m.start() for m in pieces.UNIT.finditer(s[:core])]
-        first = next((b for b in inner if b >= entry and self._sure(s, b)), None)
-        out = []
-        if first is None:
+        starts = self._sure(s[:core], entry)
+        if not starts:
+            out = []
             for a in range(min(entry, core) + 1):
                 total, _ = self.best(s, a, core, reach)
                 out += [(a, b - core, total[b - a]) for b in range(core, reach + 1) if b >= a and total[b - a] > NEVER]
             return out
-        tail, _ = self.best(s, first, core, reach)
+        first, last = starts[0], starts[-1]
+        middle = sum(map(self.sum_of, pieces.UNIT.findall(s[first:last])))
+        tail, _ = self.best(s, last, core, reach)
+        out = []
         for a in range(entry + 1):
             head, _ = self.best(s, a, first, first)
             if head[first - a] > NEVER:
-                out += [(a, b - core, head[first - a] + tail[b - first]) for b in range(core, reach + 1) if tail[b - first] > NEVER]
+                out += [(a, b - core, head[first - a] + middle + tail[b - last]) for b in range(core, reach + 1) if tail[b - last] > NEVER]
         return out
 
     @staticmethod
-    def _sure(s: str, b: int) -> bool:
-        return b > 0 and (s[b] == "\n" or s[b - 1] == "\n" or (s[b] == " " and s[b - 1] != " "))
+    def _sure(part: str, least: int) -> list[int]:
+        """Places in a part, from ``least`` and 1 on, that no piece can cross."""
+        return [m.start() for m in pieces.UNIT.finditer(part) if m.start() >= max(1, least)]
 
-    def between(self, s: str, core: int, state_in: int, state_out: int) -> list[int]:
+    def between(self, s: str, core: int, state_in: int, state_out: int) -> np.ndarray:
         """Ids of a chunk's best path between two border states."""
         end = core + state_out
         if state_in >= end:
-            return []
-        _, came = self.best(s, state_in, core, end)
-        return self.trace(s, state_in, came, end - state_in)
+            return np.array([], dtype=np.int32)
+        starts = self._sure(s[:core], state_in + 1) or [state_in]
+        first, last = starts[0], starts[-1]
+        _, came = self.best(s, state_in, first, first)
+        head = self.trace(s, state_in, came, first - state_in)
+        _, came = self.best(s, last, core, end)
+        tail = self.trace(s, last, came, end - last)
+        middle = b"".join([self.held.get(u) or self.unit(u) for u in pieces.UNIT.findall(s[first:last])])
+        return np.concatenate([np.array(head, dtype="<i4"), np.frombuffer(middle, dtype="<i4"), np.array(tail, dtype="<i4")])
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,6 +182,16 @@ def border_states(matrices: np.ndarray) -> np.ndarray:
     return states
 
 
+def parts(batches, ends_of, most: int):
+    """The batches' rows in slices of ``most`` units or one row; ends_of gives a batch's running number of units."""
+    for b in batches:
+        ends, at = ends_of(b), 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def _encode_giants(giants: DataFrame, vocabulary: pieces.Pieces, chunk: int) -> DataFrame:
     """(doc_id, text_hash, ids) for documents longer than a chunk."""
     k = vocabulary.longest
@@ -191,8 +235,11 @@ def encode(docs: DataFrame, path: str = pieces.MODEL, chunk: int = CHUNK) -> Dat
 
     def run(batches):
         encoder = Encoder(vocabulary)
-        for b in batches:
-            ids = pa.array([None if t is None else encoder.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
+        for b in parts(batches, lambda b: np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)), PART):
+            rows = [None if t is None else encoder.encode(t) for t in b.column(1).to_pylist()]
+            ends = np.cumsum([0, *[0 if r is None else len(r) for r in rows]]).astype(np.int32)
+            flat = np.concatenate([r for r in rows if r is not None] or [np.array([], dtype=np.int32)])
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=pa.array([r is None for r in rows], pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), ids], ["doc_id", "text_hash", "ids"])
 
     small = docs.where(~giant).select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, ids array<int>")
@@ -205,16 +252,35 @@ def decode(encoded: DataFrame, path: str = pieces.MODEL) -> DataFrame:
     texts = [p.encode() for p in vocabulary.text()]
     for b, i in enumerate(vocabulary.byte_ids):
         texts[i] = bytes([b])
+    blob = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    places = np.cumsum(lengths) - lengths
+
+    def joined(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all pieces, without the first one of each row, and where each piece ends. first: each non-empty row's first piece."""
+        size, at = lengths[ids], places[ids]
+        size[first] -= 1
+        at[first] += 1
+        ends = np.cumsum(size)
+        return blob[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
     def run(batches):
-        get = texts.__getitem__
-        for b in batches:
+        for b in parts(batches, lambda b: np.cumsum(pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False)), PART // 4):
             column = b.column(2)
-            flat, ends = column.values.tolist(), column.offsets.tolist()
-            out = []
-            for k, here in enumerate(column.is_valid().tolist()):
-                out.append(b"".join(map(get, flat[ends[k] : ends[k + 1]])).decode(errors="replace")[1:] if here else None)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], ["doc_id", "text_hash", "ids", "text"])
+            cut = column.offsets.to_numpy().astype(np.int64)
+            ids = column.values.to_numpy()[cut[0] : cut[-1]]
+            cut -= cut[0]
+            valid = column.is_valid()
+            data, ends = joined(ids, cut[:-1][cut[1:] > cut[:-1]])
+            stops = np.concatenate([[0], ends])[cut]
+            try:
+                whole = data.tobytes()
+                whole.decode()
+                out = pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(stops.tobytes()), pa.py_buffer(whole)]).cast(pa.string())
+                out = pc.if_else(valid, out, pa.scalar(None, pa.string()))
+            except UnicodeDecodeError:  # ids that encode would not give
+                out = pa.array([data[x:y].tobytes().decode(errors="replace") if ok else None for x, y, ok in zip(stops[:-1], stops[1:], valid.to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, out], ["doc_id", "text_hash", "ids", "text"])
 
     return encoded.select("doc_id", "text_hash", "ids").mapInArrow(run, "doc_id long, text_hash long, ids array<int>, text string")
 
