@@ -3,7 +3,7 @@
 Each language has a probability for every piece of a fixed public vocabulary. The probability of a word is the sum over all its segmentations
 of the product of their pieces' probabilities (forward algorithm); a text's is the product over its words (runs of letters, lower case, with
 a space in front). Probabilities are learned by expectation maximisation (forward-backward counts) on a
-bounded sample of labelled documents; texts are scored whole. The forward sums of a batch's new words run side by side in numpy.
+bounded sample of labelled documents, whose words are counted by language first; texts are scored whole. The forward sums of a batch's new words run side by side in numpy.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; documents with null lang teach nothing; a letter run is
 cut every 24 letters; without any labelled document every text is ``und``; every input row gives one row; further columns are ignored.
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import pieces
+from gridloom.llm.common import Scratch
 
 UNDETERMINED = "und"
 #: Bound on the labelled documents that the probabilities are fitted on.
@@ -29,7 +30,7 @@ ROUNDS = 2
 UNKNOWN = 1e-8
 ADDED = 0.05
 #: Words whose sums a worker holds before it starts anew.
-HELD_WORDS = 250_000
+HELD_WORDS = 500_000
 LETTERS = re.compile(r"[^\W\d_]{1,24}")
 
 
@@ -41,51 +42,60 @@ class Lattice:
     """All segmentations of a list of words: edges (from, to, piece) between character positions, by end within the word."""
 
     def __init__(self, words: list[str], ids: dict[str, int], longest: int, unknown: int):
-        starts, stops, which, sizes = [], [], [], []
-        at = 0
-        ends = []
+        edges: list[int] = []  # first, end, piece of every edge, in the order of words
+        counts, sizes = [], []
+        get, add = ids.get, edges.extend
         for word in words:
             w = " " + word
             n = len(w)
             sizes.append(n)
+            before = len(edges)
             for j in range(1, n + 1):
                 single = False
-                for i in range(max(0, j - longest), j):
-                    p = ids.get(w[i:j])
+                for i in range(j - longest if j > longest else 0, j):
+                    p = get(w[i:j])
                     if p is not None:
-                        starts.append(at + i)
-                        stops.append(at + j)
-                        which.append(p)
-                        ends.append(j)
-                        single = single or i == j - 1
+                        add((i, j, p))
+                        single = i == j - 1
                 if not single:
-                    starts.append(at + j - 1)
-                    stops.append(at + j)
-                    which.append(unknown)
-                    ends.append(j)
-            at += n + 1
-        order = np.argsort(np.array(ends, dtype=np.int32), kind="stable")
-        self.start, self.stop, self.piece = (np.array(x, dtype=np.int64)[order] for x in (starts, stops, which))
-        self.cuts = np.searchsorted(np.array(ends, dtype=np.int32)[order], np.arange(1, max(sizes, default=0) + 2))
-        self.first = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64) + 1)])[:-1] if sizes else np.array([], dtype=np.int64)
-        self.last = self.first + np.array(sizes, dtype=np.int64)
-        self.cells = at
+                    add((j - 1, j, unknown))
+            counts.append((len(edges) - before) // 3)
+        e = np.array(edges, dtype=np.int64).reshape(-1, 3)
+        size = np.array(sizes, dtype=np.int64)
+        self.first = np.cumsum(size + 1) - size - 1
+        self.last = self.first + size
+        self.cells = int(size.sum() + len(size))
+        shift = np.repeat(self.first, counts)
+        self.start, self.stop, self.piece = e[:, 0] + shift, e[:, 1] + shift, e[:, 2]
+        self.by_end, self.by_start = self._levels(e[:, 1], self.stop), self._levels(e[:, 0], self.start)
+
+    @staticmethod
+    def _levels(level: np.ndarray, cell: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level: its edges, where the runs of one cell begin among them, and the runs' cells."""
+        order = np.argsort(level, kind="stable")
+        cuts = np.searchsorted(level[order], np.arange(int(level.max()) + 2 if len(level) else 1))
+        out = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo:
+                here = order[lo:hi]
+                c = cell[here]
+                runs = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+                out.append((here, runs, c[runs]))
+        return out
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """p: piece by language; the probability of every prefix."""
         a = np.zeros((self.cells, p.shape[1]))
         a[self.first] = 1
-        for lo, hi in zip(self.cuts[:-1], self.cuts[1:], strict=True):
-            s = slice(lo, hi)
-            np.add.at(a, self.stop[s], a[self.start[s]] * p[self.piece[s]])
+        for edges, runs, cells in self.by_end:
+            a[cells] = np.add.reduceat(a[self.start[edges]] * p[self.piece[edges]], runs)
         return a
 
     def backward(self, p: np.ndarray) -> np.ndarray:
         b = np.zeros((self.cells, p.shape[1]))
         b[self.last] = 1
-        for lo, hi in zip(self.cuts[-2::-1], self.cuts[:0:-1], strict=True):
-            s = slice(lo, hi)
-            np.add.at(b, self.start[s], b[self.stop[s]] * p[self.piece[s]])
+        for edges, runs, cells in reversed(self.by_start):
+            b[cells] = np.add.reduceat(b[self.stop[edges]] * p[self.piece[edges]], runs)
         return b
 
 
@@ -107,38 +117,30 @@ def fit(docs: DataFrame, path: str = pieces.MODEL, sample_docs: int = SAMPLE_DOC
     p = np.repeat((1 / (rank + 10.0))[:, None], max(1, len(langs)), axis=1)
     p = np.vstack([p / p.sum(axis=0), np.full((1, p.shape[1]), UNKNOWN)])
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, sample_docs / max(1, n))))
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{1,24}"), F.lit(0)))
+    seen = Scratch(sample.select("lang", words.alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n")).select("word", "lang", "n"), "words").df
     for _ in range(rounds if langs else 0):
         now = p
 
         def expect(batches):
-            found: dict[str, np.ndarray] = {}
             total = np.zeros((v + 1, len(langs)))
             place = {k: i for i, k in enumerate(langs)}
-
-            def flush():
+            for batch in batches:
+                found: dict[str, int] = {}
+                row = np.array([found.setdefault(w, len(found)) for w in batch.column(0).to_pylist()], dtype=np.int64)
+                weight = np.zeros((len(found), len(langs)))
+                np.add.at(weight, (row, np.array([place[k] for k in batch.column(1).to_pylist()], dtype=np.int64)), batch.column(2).to_numpy())
                 lattice = Lattice(list(found), ids, longest, v)
                 a, b = lattice.forward(now), lattice.backward(now)
+                weight /= np.maximum(a[lattice.last], 1e-300)
                 word = np.repeat(np.arange(len(found)), np.diff(np.append(lattice.first, lattice.cells)))
-                weight = np.array(list(found.values())) / np.maximum(a[lattice.last], 1e-300)
                 share = a[lattice.start] * now[lattice.piece] * b[lattice.stop] * weight[word[lattice.start]]
-                np.add.at(total, lattice.piece, share)
-                found.clear()
-
-            for batch in batches:
-                for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    k = place[lang]
-                    for w in LETTERS.findall(text.lower()):
-                        if (c := found.get(w)) is None:
-                            found[w] = c = np.zeros(len(langs))
-                        c[k] += 1
-                    if len(found) > 30_000:
-                        flush()
-            if found:
-                flush()
+                for k in range(len(langs)):
+                    total[:, k] += np.bincount(lattice.piece, share[:, k], minlength=v + 1)
             piece, lang = np.nonzero(total[:v])
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
-        sums = sample.select("text", "lang").mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
+        sums = seen.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
         t = sums.toPandas()
         got = np.zeros((v, len(langs)))
         got[t["piece"].to_numpy(), t["lang"].to_numpy()] = t["n"].to_numpy()
