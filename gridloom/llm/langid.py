@@ -31,6 +31,14 @@ UNKNOWN = 1e-8
 ADDED = 0.05
 #: Words whose sums a worker holds before it starts anew.
 HELD_WORDS = 500_000
+#: Calibration of what a learned language's text looks like: bound on documents, lengths of their windows in words (powers of 2), least number of them, deviations below the
+#: median that are still taken, least deviation in nats a letter, and nats that a whole text must fall short by, so that a few words never suffice.
+CALIBRATION_DOCS = 2_000
+WINDOWS = 9
+LEAST_WINDOWS = 5
+DEVIATIONS = 10.0
+LEAST_DEVIATION = 0.1
+EVIDENCE = 30.0
 LETTERS = re.compile(r"[^\W\d_]{1,24}")
 
 
@@ -149,8 +157,9 @@ def fit(docs: DataFrame, path: str = pieces.MODEL, sample_docs: int = SAMPLE_DOC
     return {"langs": langs, "prior": np.log(np.array([counts[k] / n for k in langs])) if langs else np.array([]), "p": p, "ids": ids, "longest": longest}
 
 
-def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, lang_pred and score for every row of docs(text, ...)."""
+def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",), bounds: dict | None = None) -> DataFrame:
+    """The carried columns, lang_pred and score for every row of docs(text, ...); with bounds, also n_words, n_letters, fit (log probability
+    under lang_pred in nats a letter) and learned: whether the text is like those of that language (see ``unlike``)."""
     langs, prior, p, ids, longest = (model[k] for k in ("langs", "prior", "p", "ids", "longest"))
     handle = docs.sparkSession.sparkContext.broadcast((ids, p.astype(np.float64)))  # sized by the vocabulary and the languages
 
@@ -160,7 +169,7 @@ def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",))
         logs = np.zeros((0, len(langs)))
         for b in batches:
             texts = b.column(0).to_pylist()
-            at, names, scores = 0, [], []
+            at, names, scores, sizes, letters, fits = 0, [], [], [], [], []
             while at < len(texts):  # a few texts at a time, so that words held stay bounded
                 some, fresh, size = [], {}, 0
                 if len(place) > HELD_WORDS:
@@ -178,21 +187,72 @@ def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",))
                     logs = np.vstack([logs, np.log(np.maximum(lattice.forward(p)[lattice.last], 1e-300))])
                     place.update(fresh)
                 for words in some:
+                    sizes.append(len(words))
+                    letters.append(sum(map(len, words)))
+                    fits.append(0.0)
                     if not words or not langs:
                         names.append(UNDETERMINED)
                         scores.append(0.0)
                         continue
-                    total = prior + logs[np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
+                    own = logs[np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
+                    total = prior + own
                     odds = np.exp(total - total.max())
                     best = int(np.argmax(total))
                     names.append(langs[best])
                     scores.append(float(odds[best] / odds.sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*carry, "lang_pred", "score"])
+                    fits[-1] = float(own[best]) / letters[-1]
+            more = []
+            if bounds is not None:
+                learned = [k != UNDETERMINED and not unlike(bounds, k, *x) for k, *x in zip(names, sizes, letters, fits, strict=True)]
+                more = [pa.array(sizes, pa.int64()), pa.array(letters, pa.int64()), pa.array(fits, pa.float64()), pa.array(learned, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64()), *more], [*carry, "lang_pred", "score", *(DETAILS if more else ())])
 
     lettered = F.when(docs["text"].rlike(r"\p{L}"), docs["text"])
     rows = docs.select(lettered.alias("scored_text"), *[docs[c] for c in carry])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    detail = ", n_words long, n_letters long, fit double, learned boolean" if bounds is not None else ""
+    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double{detail}")
+
+
+DETAILS = ("n_words", "n_letters", "fit", "learned")
+
+
+def window(n_words: int) -> int:
+    """Number of the longest window of words that a text of so many fills."""
+    return min(WINDOWS, n_words.bit_length()) - 1
+
+
+def unlike(bounds: dict, lang: str, n_words: int, n_letters: int, fit: float) -> bool:
+    """Whether a text is far less probable under lang than learned text of its length, or of the next shorter one calibrated. A language without calibration rejects nothing."""
+    held = next(((lang, k) for k in range(window(n_words), -1, -1) if (lang, k) in bounds), None)
+    if held is None:
+        return False
+    middle, deviation = bounds[held]
+    short = middle - fit
+    return short > DEVIATIONS * deviation and short * n_letters > EVIDENCE
+
+
+def calibrate(docs: DataFrame, model: dict, sample_docs: int = CALIBRATION_DOCS) -> dict:
+    """(language, window) to median and deviation (median absolute one, scaled) of the fit of the first 1, 2, 4, ... words of labelled documents.
+
+    Medians hold as long as most documents with a label are in that language."""
+    docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    bound = F.lit(0)
+    for lang, n in counts.items():
+        bound = F.when(F.col("lang") == lang, math.ceil((1 << 20) * min(1.0, sample_docs / max(1, len(counts)) / n))).otherwise(bound)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < bound)
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"\p{L}{1,24}"), F.lit(0)), 1, 1 << (WINDOWS - 1))
+    cuts = sample.select("lang", words.alias("words")).select("lang", "words", F.explode(F.array(*[F.lit(1 << k) for k in range(WINDOWS)])).alias("n"))
+    cuts = cuts.where(F.size("words") >= F.col("n")).select("lang", "n", F.array_join(F.slice("words", F.lit(1), F.col("n")), " ").alias("text"))
+    t = predict(cuts, model, ("lang", "n"), {}).where("lang = lang_pred").select("lang", "n", "fit").toPandas()
+    bounds = {}
+    for (lang, n), fit in t.groupby(["lang", "n"])["fit"]:
+        if len(fit) < LEAST_WINDOWS:
+            continue
+        middle = float(fit.median())
+        bounds[lang, window(int(n))] = (middle, max(LEAST_DEVIATION, 1.4826 * float((fit - middle).abs().median())))
+    return bounds
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
