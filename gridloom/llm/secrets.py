@@ -7,18 +7,23 @@ symbol counts (Wilson-Hilferty), the runs test about the middle of the alphabet,
 their Bonferroni minimum: high where nothing speaks against randomness.
 
 Short tokens pass such tests whatever they are, so the score is calibrated by length: candidates that are plain words (letters of
-one case) are the null population. In each length band a token's p-value is the add-one share of null tokens of that band or a
-shorter one that score as high, and Benjamini-Hochberg at ``fdr`` picks the band's score threshold. Counts come from all
-documents, as a table of bands by score bins, whose size is fixed.
+one case), and a fixed prior of windows of PRIOR, letter strings of running text at each band's own least length, are the null population. In each length
+band a token's p-value is the add-one share of the prior's windows for that band and of words of that band or a shorter one that score as high, and Benjamini-Hochberg at ``fdr`` picks the
+band's score threshold. The prior makes detection independent of how many long words a corpus has; counts come from all documents, as a
+table of bands by score bins, whose size is fixed.
 
 Defined results: a null text counts as empty; each row of the input gives one row, repeated ones too; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm import licenses
 from gridloom.llm.common import Scratch
 
 #: Fixed values of the base scan.
@@ -33,6 +38,8 @@ LEAST = 20
 BANDS = 8
 BINS = 100
 FDR = 0.05
+#: Running text of the null prior: notices in English.
+PRIOR = tuple(licenses.TEMPLATES.values())
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (pattern of the token without padding, alphabet), first match wins.
@@ -129,12 +136,43 @@ def scan(docs: DataFrame) -> DataFrame:
     return t.select("doc_id", "base", scored.alias("more"))
 
 
+def _plain_score(token: str) -> float:
+    """``randomness`` of lower-case letters, in Python."""
+    tail = lambda z: 1 - 1 / (1 + math.exp(-1.5976 * max(min(z, 12.0), -12.0) - 0.070565992 * max(min(z, 12.0), -12.0) ** 3))
+    alphabet = next(symbols for pattern, symbols in ENCODINGS if re.search(pattern, token))
+    n, k = len(token), len(alphabet)
+    v = [alphabet.index(c) for c in token]
+    df, spread = k - 1, 2 / (9 * (k - 1))
+    chi = k / n * sum(v.count(x) ** 2 for x in set(v)) - n
+    p_chi = tail(((max(chi, 0.0) / df) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))
+    high = sum(x >= k / 2 for x in v)
+    runs = 1 + sum((x >= k / 2) != (y >= k / 2) for x, y in zip(v, v[1:], strict=False))
+    mean = 2 * high * (n - high) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    p_runs = 2 * tail(abs(runs - mean) / math.sqrt(max(var, 1e-9))) if var > 0 else 0.0
+    lagged = sum((x - df / 2) * (y - df / 2) for x, y in zip(v, v[1:], strict=False))
+    p_serial = 2 * tail(abs(lagged / ((k * k - 1) / 12)) / math.sqrt(n - 1))
+    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
+
+
+def prior() -> list[dict]:
+    """Band and bin of windows over the letters of PRIOR, of every band's least length and each a sixteenth of it after the last."""
+    letters = "".join(c for t in PRIOR for c in t.lower() if c in LOWER)
+    cuts = [math.ceil(LEAST * 2 ** (band / 2)) for band in range(BANDS)]
+    return [
+        {"band": band, "bin": math.floor(_plain_score(letters[i : i + n]) * BINS)}
+        for band, n in enumerate(cuts) for i in range(0, len(letters) - n + 1, n // 16)
+    ]
+
+
 def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[int, int]:
     """Length band to the least score bin that the band's Benjamini-Hochberg procedure accepts; bands without one are left out."""
     cells = scanned.select(F.explode("more").alias("m")).groupBy("m.band", "m.bin", "m.word").count().collect()
+    fixed = prior()
     least = {}
     for band in range(BANDS):
         null = [sum(c["count"] for c in cells if c["word"] and c["band"] <= band and c["bin"] >= t) for t in range(BINS + 1)]
+        null = [k + sum(w["band"] == band and w["bin"] >= t for w in fixed) for t, k in enumerate(null)]
         rest = [sum(c["count"] for c in cells if not c["word"] and c["band"] == band and c["bin"] >= t) for t in range(BINS + 1)]
         for t in range(BINS + 1):
             if rest[t] and (null[t] + 1) / (null[0] + 1) * rest[0] <= fdr * rest[t]:

@@ -1,0 +1,22 @@
+"""A planted key in a table without long words."""
+
+import base64
+import hashlib
+
+import pytest
+
+from gridloom.llm import secrets
+
+
+@pytest.mark.parametrize("seed", [b"a", b"b", b"c"])
+def test_single_key_in_a_small_table(spark, seed):
+    key = base64.b64encode(hashlib.sha512(seed).digest()).decode().rstrip("=")
+    rows = [(1, f"the blob {key} ends here"), (2, "a short text of plain words"), (3, None), (4, "see internationalization-and-localization-guidelines for more")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: f"random:9:{9 + len(key)}", 2: "", 3: "", 4: ""}
+
+
+def test_prior_is_scored_as_tokens_are(spark):
+    words = ["ofthesoftwareandassociated", "permissionisherebygrantedfreeofcharge"]
+    df = spark.createDataFrame([(w,) for w in words], "g string")
+    assert [r[0] for r in df.select(secrets.randomness(df["g"])).collect()] == pytest.approx([secrets._plain_score(w) for w in words])
