@@ -77,7 +77,7 @@ def test_recall_and_scores(spark):
     x = rng.normal(size=(3000, 24)) * rng.uniform(0.5, 2, size=(3000, 1))
     x[100:140] = x[100]
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    rows = permindex.nearest(v, v.where("vec_id % 50 = 0"), block_rows=700, query_rows=40).toPandas()
+    rows = permindex.nearest(v, v.where("vec_id % 50 = 0"), shard_rows=300, query_rows=40).toPandas()
     hits = []
     for q, g in rows.groupby("query_id"):
         s = (x * x[q]).sum(axis=1)
@@ -94,12 +94,47 @@ def test_recall_and_scores(spark):
 def test_footrule_gain_orders_like_the_distance():
     rng = np.random.default_rng(1)
     lists = np.array([rng.permutation(12)[:5] for _ in range(40)], dtype=np.int16)
-    gain = permindex.footrule_gain(lists[:6], lists, 12)
-    place = np.full((40, 12), 5)
+    place = np.full((40, 12), 5, dtype=np.int16)
     for i, row in enumerate(lists):
         place[i, row] = np.arange(5)
+    gain = permindex.footrule_gain(place[:6].T, lists).T
     distance = np.abs(place[:6, None] - place[None]).sum(axis=2)
-    assert len(set((gain + distance).ravel().tolist())) == 1
+    assert len(set((2 * gain + distance).ravel().tolist())) == 1
+
+
+def test_a_shard_meets_only_the_files_that_a_query_reads():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = x[:40]
+    rows, asked = permindex.lists(x, pivots, 12), permindex.lists(x[:30], pivots, 10)
+    ids = np.arange(400)
+    twice = np.concatenate([ids, ids])
+    found = {ids[j]: (set(i.tolist()), s) for j, i, s in permindex.search_shard(ids[:30], x[:30], asked, ids[twice], x[twice], rows[twice], np.repeat([0, 1], 400), pivots=40, prefix=12, k=400, share=1.0, batch=7)}
+    for j in range(30):
+        met = {i for i in range(400) if i != j and set(rows[i, :2]) & set(asked[j])}
+        assert met == found[j][0] and len(found[j][1]) == len(met)
+
+
+def test_files_are_dealt_to_bounded_shards():
+    rng = np.random.default_rng(6)
+    counts = np.concatenate([rng.integers(0, 40, 90), [1000, 170]])
+    dealt = permindex.deal(counts, rng.normal(size=(92, 5)), 100)
+    load = {}
+    for p, first, parts in dealt:
+        for s in range(first, first + parts):
+            load[s] = load.get(s, 0) + counts[p] / parts
+    assert sorted(p for p, _, _ in dealt) == list(range(92)) and max(load.values()) <= 100 and dict((p, m) for p, _, m in dealt)[90] == 10
+
+
+def test_copies_of_one_vector(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 6)).round(3)
+    x[:400] = x[0]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = permindex.nearest(v, v.where("vec_id % 100 = 0"), shard_rows=60, query_rows=5).toPandas()
+    assert rows.groupby("query_id").size().tolist() == [20] * 9
+    assert rows[rows.query_id == 0].sort_values("rank")["vec_id"].tolist() == list(range(1, 21)) or (x[rows[rows.query_id == 0]["vec_id"]] @ x[0]).min() > (x[0] ** 2).sum()
 
 
 def test_band_settings_guarantee_collisions():
