@@ -9,13 +9,14 @@ deleted at its later places, whatever its number of lines, so maximal repeated r
   running sums go through slices of the second rank, so neither a frequent line nor a frequent prefix meets in one task.
   A suffix that is alone with its prefix is settled and leaves (discarding); equal ranks after a round at length k are exactly the
   suffixes whose longest common prefix is k or more: an interval of the array.
-* Intervals: a run of L lines, k <= L < 2k, is named by the ranks at length k of its first and of its last k lines; suffixes of
-  the same name are the interval with a common prefix of L lines or more. In each interval all but the earliest run are later copies.
+* Intervals are implicit, as ranks: a run of L lines, k <= L < 2k, is named by the ranks at length k of its first and of its last k lines; suffixes of
+  the same name are the interval with a common prefix of L lines or more. In each interval all but the earliest run are later copies; where a copy overlaps that
+  first one, in its own document, the lines of the first one stay. Names that hold many runs are looked up by broadcast (at most HOT of them), so that they need no shuffle.
 * Only runs that no shorter run of ``min_words`` words starts or ends like need to be looked up (each longer repeated
   run is covered by those within it), so lengths stop at ``min_words`` lines and the rounds at log2 of that.
 
 Defined results: null text stays null; rows equal in doc_id and text count as one document and share its result; a null
-doc_id sorts first; equal runs within one document are copies too; further columns pass through ``dedup_lines``.
+doc_id sorts first; equal runs within one document are copies too; twelve equal lines of ten words keep the first five; further columns pass through ``dedup_lines``.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from gridloom.llm.common import Scratch, n_words
 MIN_WORDS = 50
 #: Slices of the second rank in which running sums are made.
 SLICES = 1024
+#: Names with more than one HOT-th of all runs are looked up by broadcast; there can be no more of them than that.
+HOT = 2000
 DOC = ("doc_id", "th")
 
 
@@ -74,10 +77,19 @@ def _ranked(rows: DataFrame, key: list[str], cut: Column) -> DataFrame:
 
 
 def _marked(windows: DataFrame) -> DataFrame:
-    """Later copies among windows(doc_id, th, s, len, ra, rb)."""
+    """(doc_id, th, a, z): the lines a to z - 1 of later copies among windows(doc_id, th, s, len, ra, rb)."""
+    key = ["len", "ra", "rb"]
     at = F.struct("doc_id", "th", "s")
-    first = windows.groupBy("len", "ra", "rb").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("last > first").drop("last")
-    return windows.join(first, ["len", "ra", "rb"]).where(at > F.col("first")).select(*DOC, "s", "len")
+    windows = Scratch(windows, "windows").df
+    first = windows.groupBy(*key).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where("last > first").drop("last")
+    first = Scratch(first, "first").df
+    hot = F.col("n") > F.lit(windows.count() // HOT)
+    known = windows.join(F.broadcast(first.where(hot).drop("n")), key, "left")  # HOT rows at most
+    rest = known.where("first IS NULL").drop("first").join(first.where(~hot).drop("n"), key)
+    copies = known.where("first IS NOT NULL").unionByName(rest).where(at > F.col("first"))
+    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    begin = F.when(own, F.greatest(F.col("s"), F.col("first.s") + F.col("len"))).otherwise(F.col("s"))
+    return copies.select(*DOC, begin.alias("a"), (F.col("s") + F.col("len")).alias("z")).where("a < z")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -110,7 +122,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = marked[0]
     for m in marked[1:]:
         gone = gone.unionByName(m)
-    gone = gone.select(*DOC, F.explode(F.sequence(F.col("s"), F.col("s") + F.col("len") - 1)).alias("j")).distinct()
+    gone = gone.select(*DOC, F.explode(F.sequence(F.col("a"), F.col("z") - 1)).alias("j")).distinct()
     return gone.join(repeated.select(*DOC, "j", "i"), [*DOC, "j"]).select(*DOC, "i").distinct()
 
 
@@ -126,4 +138,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(left, "\n"))
     kept = [text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")]
     n_lines = F.when(docs["text"].isNull(), 0).otherwise(F.length(docs["text"]) - F.length(F.replace(docs["text"], F.lit("\n"), F.lit(""))) + 1)
-    return both.select(*kept, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return both.select(*kept, n_lines.cast("long").alias("n_lines"), F.coalesce(F.array_size("__gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -288,4 +288,4 @@ def decode(encoded: DataFrame, path: str = pieces.MODEL) -> DataFrame:
 def checked(docs: DataFrame, path: str = pieces.MODEL, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_ids, ids, round_trip): what encode gives, and whether decode gives back the text; nulls for a null text."""
     both = decode(encode(docs, path, chunk), path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.xxhash64("text") == F.col("text_hash")).alias("round_trip"))
+    return both.select("doc_id", F.array_size("ids").cast("long").alias("n_ids"), "ids", (F.xxhash64("text") == F.col("text_hash")).alias("round_trip"))

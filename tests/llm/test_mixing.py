@@ -32,7 +32,8 @@ def plain_copies(rows, share, epochs, weights):
     for i, t, lang, source, domain in rows:
         leaf[domain, lang, source].append((i, len(t.encode().split())))
     tokens = {k: sum(n for _, n in v) for k, v in leaf.items()}
-    by = lambda keys: {k: epochs * sum(n for q, n in tokens.items() if q[: len(k)] == k) for k in keys}
+    weighs = lambda q: weights["lang"].get(q[1], 0) > 0
+    by = lambda keys: {k: epochs * sum(n for q, n in tokens.items() if q[: len(k)] == k and (len(k) > 1 or weighs(q))) for k in keys}
     want = defaultdict(int)
     domains = by({k[:1] for k in leaf})
     for dom, b in fill(share * sum(tokens.values()), domains, defaultdict(lambda: 1.0)).items():
@@ -61,3 +62,17 @@ def test_budgets_and_prefixes(spark):
         got[r["doc_id"]] += 1
     assert plain_copies(rows, 0.7, 2, WEIGHTS) == dict(got)
     assert max(r["epoch"] for r in out) >= 1
+
+
+def test_shortages_reach_siblings_before_ancestors(spark):
+    """Languages without weight are no capacity: what A cannot use goes to B, and nothing is lost."""
+    rows = [(i, "w " * 10, "en", "s", "A") for i in range(10)] + [(100 + i, "w " * 10, "xx", "s", "A") for i in range(200)] + [(1000 + i, "w " * 10, "en", "s", "B") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string")
+    got = {r["leaf_domain"]: r["budget"] for r in mixing.cuts(d, budget=1000, max_epochs=1.0, weights={"lang": {"en": 1.0}})[0].where("leaf_lang = 'en'").collect()}
+    assert got == {"A": 100, "B": 900}
+
+
+def test_null_ids_are_not_one_document(spark):
+    d = spark.createDataFrame([(None, f"w{i} " * 10, "en", "s") for i in range(50)], "doc_id long, text string, lang string, source string")
+    out = mixing.mix(d, budget=200, max_epochs=1.0).collect()
+    assert len(out) == 20

@@ -22,8 +22,10 @@ def plain_dedup(rows, least=50):
                 words += lines[e][2]
                 if words >= least:
                     key = tuple(x for _, x, _ in lines[s : e + 1])
-                    if first.setdefault(key, (i, s)) != (i, s):
-                        gone.setdefault(i, set()).update(k for k, _, _ in lines[s : e + 1])
+                    doc, place = first.setdefault(key, (i, s))
+                    if (doc, place) != (i, s):
+                        kept = place + len(key) if doc == i else 0  # an overlapped first copy stays
+                        gone.setdefault(i, set()).update(k for k, _, _ in lines[max(s, kept) : e + 1])
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in rows}
 
 
@@ -36,6 +38,24 @@ def test_line_dedup_is_that_of_all_windows(spark):
     assert got == plain_dedup(rows)
 
 
+def test_a_run_that_overlaps_itself_keeps_its_first_copy(spark):
+    ten = " ".join(f"w{k}" for k in range(10))
+    rows = [(1, "\n".join([ten] * 12)), (2, "\n".join(["a " * 30, "b " * 30] * 6)), (3, "\n".join([ten] * 4))]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("\n".join([ten] * 5), 7), 2: ("\n".join(["a " * 30, "b " * 30]), 10), 3: (rows[2][1], 0)}
+    assert {i: t for i, (t, _) in got.items()} == plain_dedup(rows)
+
+
+def test_hot_runs_are_looked_up_alike(spark, monkeypatch):
+    rng = random.Random(5)
+    line = [" ".join(f"x{rng.randrange(30)}" for _ in range(60)) for _ in range(4)]
+    rows = [(i, "\n".join([*rng.choices(line, k=3), f"own {i}"])) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (1, 3, 10**6):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(d).collect()} == plain_dedup(rows)
+
+
 def test_forward_sums_all_segmentations():
     ids = {p: i for i, p in enumerate([" ", " a", "a", "b", "ab", "ba", "bab", " ab"])}
     p = np.random.default_rng(0).uniform(0.01, 0.3, size=(9, 2))
