@@ -29,13 +29,15 @@ def text_of(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one is set only where none is."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder that the session names. Where it names none, and all runs on one machine, a local one is set; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             local = tempfile.mkdtemp(prefix="gridloom-")
             atexit.register(shutil.rmtree, local, ignore_errors=True)
             spark.sparkContext.setCheckpointDir(f"file://{local}")

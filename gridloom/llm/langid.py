@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,9 @@ LEAST_WINDOWS = 5
 DEVIATIONS = 10.0
 LEAST_DEVIATION = 0.1
 EVIDENCE = 30.0
-LETTERS = re.compile(r"[^\W\d_]{1,24}")
+#: Characters that count as word characters though they are no letters (numbers other than digits), so that letters here are those of \p{L} in the JVM.
+_OTHERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and unicodedata.category(c)[0] != "L" and unicodedata.category(c) != "Nd")
+LETTERS = re.compile(f"[^\\W\\d_{_OTHERS}]{{1,24}}")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -128,9 +131,10 @@ def fit(docs: DataFrame, path: str = pieces.MODEL, sample_docs: int = SAMPLE_DOC
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{1,24}"), F.lit(0)))
     seen = Scratch(sample.select("lang", words.alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n")).select("word", "lang", "n"), "words").df
     for _ in range(rounds if langs else 0):
-        now = p
+        handle = docs.sparkSession.sparkContext.broadcast((ids, p))  # sized by the vocabulary and the languages
 
-        def expect(batches):
+        def expect(batches, handle=handle):
+            ids, now = handle.value
             total = np.zeros((v + 1, len(langs)))
             place = {k: i for i, k in enumerate(langs)}
             for batch in batches:

@@ -2,9 +2,11 @@
 
 Indicators: byte n-grams of 1 to 3 and n-grams of 1 to 3 word shapes (letter case, symbols, digits, equal to the word before), hashed to a fixed number of
 columns. Each column is scaled by its class log-count ratio, rows are brought to length 1, and a linear hinge-loss
-model is fitted by dual coordinate descent (class-balanced costs). A logistic curve fitted on a fifth of the sample that the model has not seen turns margins into scores.
+model is fitted by dual coordinate descent (class-balanced costs). A logistic curve fitted on a fifth of the sample that neither the ratios nor the model have seen turns margins into
+scores (a sample with too few labels for that fits it on all).
 
-Labels come from a bounded sample of labelled documents (``sample_docs``, the first in the order of a hash of doc_id); scoring reads whole texts.
+Labels come from a bounded sample of labelled documents (``sample_docs``, the first in the order of a hash of doc_id); of longer ones the model learns from ``sample_chars`` characters
+at a place given by a hash, so that the driver's memory is bounded; scoring reads whole texts.
 
 Defined results: null texts count as ''; labels other than 0 and 1 teach nothing; of several labels of a doc_id the least counts; with no label, or one class
 only, every score is that class's share (0.5 without labels); every input row gives one row; further columns are ignored.
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 4000
+SAMPLE_CHARS = 20_000
 COST = 1.0
 EPOCHS = 25
 SMOOTHING = 1.0
@@ -66,15 +69,15 @@ def train(rows: list[np.ndarray], y: np.ndarray, cost: float = COST, epochs: int
     share = float(y.mean()) if len(y) else 0.5
     if len(set(y.tolist())) < 2:
         return {"w": None, "share": share}
-    counts = np.full((2, WIDTH), SMOOTHING)
-    for c, k in zip(rows, y, strict=True):
-        counts[k, c] += 1
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    values = [ratio[c] / max(np.linalg.norm(ratio[c]), 1e-9) for c in rows]
     aside = np.arange(len(rows)) % 5 == 4
-    if len(set(y[aside].tolist())) < 2:
+    if len(set(y[aside].tolist())) < 2 or len(set(y[~aside].tolist())) < 2:
         aside = np.ones(len(rows), dtype=bool)
     learn = np.flatnonzero(~aside) if not aside.all() else np.arange(len(rows))
+    counts = np.full((2, WIDTH), SMOOTHING)
+    for i in learn:
+        counts[y[i], rows[i]] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    values = [ratio[c] / max(np.linalg.norm(ratio[c]), 1e-9) for c in rows]
     sign = np.where(y == 1, 1.0, -1.0)
     bound = cost * len(y) / (2 * np.bincount(y, minlength=2))[y]
     w, bias, alpha = np.zeros(WIDTH), 0.0, np.zeros(len(rows))
@@ -102,11 +105,13 @@ def train(rows: list[np.ndarray], y: np.ndarray, cost: float = COST, epochs: int
     return {"w": w * ratio, "squares": ratio * ratio, "bias": bias, "curve": (float(a), float(b)), "share": share}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs: int = SAMPLE_DOCS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict:
     """Learns from docs(doc_id, text) with labels(doc_id, label) that are not held out."""
     known = labels.where(labels[label].isin(0, 1) & labels["doc_id"].isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     sample = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # sample_docs rows at most
+    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - sample_chars + 1, F.lit(1))) + 1
+    rows = rows.withColumn("text", F.substring("text", place.cast("int"), F.lit(sample_chars)))
 
     def run(batches):
         for b in batches:

@@ -9,7 +9,8 @@ the file's own pieces and scores, byte pieces for characters in none). Best sums
   the piece that straddles it reaches over (0 to longest - 1 characters). A chunk yields its transfer matrix between border states; the
   matrices of a document are combined by an associative scan; then every chunk is traced back on its own between the two states it was given.
 
-Of segmentations with equal sums the one whose last pieces are longest is taken, within a unit. Decoding joins pieces and bytes and drops
+Of segmentations with equal sums the one whose last piece is longest is taken, of those the one whose last but one is, and so on. That holds across chunks, too: with the sums, a chunk
+yields the order in which its paths between two states would be preferred, so ids do not depend on the size of chunks (where sums of scores are exact, as for whole numbers). Decoding joins pieces and bytes and drops
 the space in front, and gives back the text exactly, white space and characters outside the vocabulary included.
 
 Defined results: null text gives null ids and null text; '' gives no ids; every input row gives one row; further columns are ignored.
@@ -117,26 +118,37 @@ class Encoder:
         slow = self.unit
         return np.frombuffer(b"".join([self.held.get(u) or slow(u) for u in pieces.UNIT.findall(" " + text)]), dtype="<i4")
 
-    def transfer(self, s: str, core: int, entry: int) -> list[tuple[int, int, float]]:
-        """Finite entries (in, out, sum) of a chunk's matrix. s: the chunk and what follows it, as far as a piece can reach; core: the chunk's
+    @staticmethod
+    def places(came: list[int], start: int, end: int) -> list[int]:
+        """Starts of the pieces of the path that ends at boundary ``end``, last piece first, then -1: in this order paths of equal sums are preferred."""
+        out = []
+        while end > 0:
+            end = came[end]
+            out.append(start + end)
+        return [*out, -1]
+
+    def transfer(self, s: str, core: int, entry: int) -> list[tuple[int, int, float, int]]:
+        """Finite entries (in, out, sum, rank among the paths to out) of a chunk's matrix. s: the chunk and what follows it, as far as a piece can reach; core: the chunk's
         length; entry: largest border state at its start."""
         reach = min(len(s), core + self.v.longest - 1)
         starts = self._sure(s[:core], entry)
         if not starts:
-            out = []
+            found: dict[int, list] = {}
             for a in range(min(entry, core) + 1):
-                total, _ = self.best(s, a, core, reach)
-                out += [(a, b - core, total[b - a]) for b in range(core, reach + 1) if b >= a and total[b - a] > NEVER]
-            return out
+                total, came = self.best(s, a, core, reach)
+                for b in range(core, reach + 1):
+                    if b >= a and total[b - a] > NEVER:
+                        found.setdefault(b - core, []).append((self.places(came, a, b - a), a, total[b - a]))
+            return [(a, b, t, rank) for b, paths in found.items() for rank, (_, a, t) in enumerate(sorted(paths))]
         first, last = starts[0], starts[-1]
         middle = sum(map(self.sum_of, pieces.UNIT.findall(s[first:last])))
         tail, _ = self.best(s, last, core, reach)
-        out = []
+        paths = []
         for a in range(entry + 1):
-            head, _ = self.best(s, a, first, first)
+            head, came = self.best(s, a, first, first)
             if head[first - a] > NEVER:
-                out += [(a, b - core, head[first - a] + middle + tail[b - last]) for b in range(core, reach + 1) if tail[b - last] > NEVER]
-        return out
+                paths.append((self.places(came, a, first - a), a, head[first - a]))
+        return [(a, b - core, t + middle + tail[b - last], rank) for rank, (_, a, t) in enumerate(sorted(paths)) for b in range(core, reach + 1) if tail[b - last] > NEVER]
 
     @staticmethod
     def _sure(part: str, least: int) -> list[int]:
@@ -172,13 +184,14 @@ def scan(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
-def border_states(matrices: np.ndarray) -> np.ndarray:
-    """The state at each of the n + 1 borders of the best path that starts and ends in state 0."""
+def border_states(matrices: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The state at each of the n + 1 borders of the best path that starts and ends in state 0; of equal sums the least rank."""
     n = len(matrices)
     before = np.vstack([np.where(np.arange(matrices.shape[1]) == 0, 0.0, NEVER)[None], scan(matrices)[:, 0, :]])
     states = np.zeros(n + 1, dtype=np.int64)
     for c in range(n - 1, -1, -1):
-        states[c] = int(np.argmax(before[c] + matrices[c][:, states[c + 1]]))
+        sums = before[c] + matrices[c][:, states[c + 1]]
+        states[c] = int(np.argmin(np.where(sums == sums.max(), ranks[c][:, states[c + 1]], len(sums))))
     return states
 
 
@@ -206,13 +219,15 @@ def _encode_giants(giants: DataFrame, vocabulary: pieces.Pieces, chunk: int) ->
         for b in batches:
             rows, cs, cores, parts = (b.column(x).to_pylist() for x in ("row", "c", "core", "part"))
             got = [(r, c, *e) for r, c, core, part in zip(rows, cs, cores, parts, strict=True) for e in encoder.transfer(part, core, k - 1 if c else 0)]
-            yield pa.RecordBatch.from_pylist([dict(zip(("row", "c", "i", "o", "t"), g, strict=True)) for g in got], schema=pa.schema([("row", pa.int64()), ("c", pa.int32()), ("i", pa.int32()), ("o", pa.int32()), ("t", pa.float64())]))
+            yield pa.RecordBatch.from_pylist([dict(zip(("row", "c", "i", "o", "t", "rank"), g, strict=True)) for g in got], schema=pa.schema([("row", pa.int64()), ("c", pa.int32()), ("i", pa.int32()), ("o", pa.int32()), ("t", pa.float64()), ("rank", pa.int32())]))
 
     def combine(t: pa.Table) -> pa.Table:
-        c, i, o, s = (t.column(x).to_numpy() for x in ("c", "i", "o", "t"))
+        c, i, o, s, rank = (t.column(x).to_numpy() for x in ("c", "i", "o", "t", "rank"))
         m = np.full((int(c.max()) + 1, k, k), NEVER)
         m[c, i, o] = s
-        states = border_states(m)
+        ranks = np.full(m.shape, k - 1, dtype=np.int64)
+        ranks[c, i, o] = rank
+        states = border_states(m, ranks)
         return pa.table({"row": pa.array([t.column("row")[0].as_py()] * len(m), pa.int64()), "c": pa.array(np.arange(len(m)), pa.int32()), "a": pa.array(states[:-1], pa.int32()), "b": pa.array(states[1:], pa.int32())})
 
     def traced(batches):
@@ -221,7 +236,7 @@ def _encode_giants(giants: DataFrame, vocabulary: pieces.Pieces, chunk: int) ->
             part = [encoder.between(*x) for x in zip(*(b.column(n).to_pylist() for n in ("part", "core", "a", "b")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("text_hash"), b.column("c"), pa.array(part, pa.list_(pa.int32()))], ["row", "doc_id", "text_hash", "c", "part"])
 
-    states = chunks.select("row", "c", "core", "part").mapInArrow(matrices, "row long, c int, i int, o int, t double").groupBy("row").applyInArrow(combine, "row long, c int, a int, b int")
+    states = chunks.select("row", "c", "core", "part").mapInArrow(matrices, "row long, c int, i int, o int, t double, rank int").groupBy("row").applyInArrow(combine, "row long, c int, a int, b int")
     back = chunks.join(states, ["row", "c"]).mapInArrow(traced, "row long, doc_id long, text_hash long, c int, part array<int>")
     ids = back.groupBy("row", "doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("c", "part"))).alias("p"))
     return ids.select("doc_id", "text_hash", F.flatten(F.transform("p", lambda x: x["part"])).alias("ids"))
@@ -288,4 +303,4 @@ def decode(encoded: DataFrame, path: str = pieces.MODEL) -> DataFrame:
 def checked(docs: DataFrame, path: str = pieces.MODEL, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_ids, ids, round_trip): what encode gives, and whether decode gives back the text; nulls for a null text."""
     both = decode(encode(docs, path, chunk), path)
-    return both.select("doc_id", F.array_size("ids").cast("long").alias("n_ids"), "ids", (F.xxhash64("text") == F.col("text_hash")).alias("round_trip"))
+    return both.select("doc_id", F.array_size("ids").cast("long").alias("n_ids"), "ids", F.when(F.col("ids").isNotNull(), F.xxhash64("text") == F.col("text_hash")).alias("round_trip"))
