@@ -42,10 +42,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     else:
         parts = zip(*(words[i:] for i in range(shingle)), strict=False)
         hashes = [xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, parts)]
-    h = np.array(hashes, dtype="<u8")
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 for none."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 15):
-        block = h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
+        block = h[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
