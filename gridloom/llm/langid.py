@@ -40,9 +40,17 @@ LEAST_WINDOWS = 5
 DEVIATIONS = 10.0
 LEAST_DEVIATION = 0.1
 EVIDENCE = 30.0
-#: Characters that count as word characters though they are no letters (numbers other than digits), so that letters here are those of \p{L} in the JVM.
-_OTHERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and unicodedata.category(c)[0] != "L" and unicodedata.category(c) != "Nd")
-LETTERS = re.compile(f"[^\\W\\d_{_OTHERS}]{{1,24}}")
+#: Word characters that are neither letters nor decimal digits. Runs of letters here are those of \p{L} in the JVM.
+_OTHERS = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and unicodedata.category(c)[0] != "L" and unicodedata.category(c) != "Nd")
+_LETTERS = re.compile(r"[^\W\d_]{1,24}")
+_APART = {ord(c): " " for c in _OTHERS}
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters, cut every 24."""
+    if not text.isascii() and not _OTHERS.isdisjoint(text):
+        text = text.translate(_APART)
+    return _LETTERS.findall(text)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -179,7 +187,7 @@ def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",),
                 if len(place) > HELD_WORDS:
                     place, logs = {}, np.zeros((0, len(langs)))
                 while at < len(texts) and size < 200_000 and len(fresh) < 20_000:
-                    words = LETTERS.findall((texts[at] or "").lower())
+                    words = letter_runs((texts[at] or "").lower())
                     for w in words:
                         if w not in place and w not in fresh:
                             fresh[w] = len(place) + len(fresh)

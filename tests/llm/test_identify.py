@@ -27,3 +27,11 @@ def test_stage_rejects_foreign_text_and_gibberish(spark):
     docs = spark.createDataFrame([(*r, "s", len(r[1] or "")) for r in rows + few], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"] for r in corpus_pipeline.identify(spark, docs, "").collect()}
     assert got == keep | {9900, 9901}
+
+
+def test_letter_runs_are_those_of_the_jvm(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["a²b ⅷx ⅣⅥ y", "über straße１２ x", "中文字٣ب", "no others", "½ⓐ㊀z", "état", "ª º"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.regexp_extract_all("t", F.lit(r"\p{L}{1,24}"), F.lit(0)).alias("w")).collect()
+    assert {r["i"]: r["w"] for r in got} == {i: langid.letter_runs(t) for i, t in enumerate(texts)}
