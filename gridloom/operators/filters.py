@@ -1,7 +1,6 @@
 """Smoothing filters by name: recursive ones (exponential averages, Kalman, Butterworth), finite kernels, order statistics.
 
-Recursive filters are left folds over an instrument's ordered values. A fold that returns its last state serves a checked short frame in SQL; a whole series
-is filtered by ``recursive``, a grouped numpy pass per instrument that carries a constant-size state.
+Recursive filters are left folds over an instrument's ordered values: ``recursive`` and ``oscillators`` are grouped numpy passes over whole series, per instrument, with a state of constant size.
 Finite kernels are array expressions over the last w rows and stay in the JVM. ``orientation`` says on which end a weighted
 kernel puts its largest weight: ``recent``, or ``reference`` (the oldest), which is what an unreversed convolution does.
 """
@@ -62,42 +61,6 @@ def median(d: Dialect) -> list[dict]:
     return [{f"median_{w}": f"CASE WHEN p IS NOT NULL AND row_number() OVER (PARTITION BY inst ORDER BY dt) >= {w} THEN {d.quantile('p', 0.5, d.ts(w))} END" for w in (5, 21)}]
 
 
-# closed forms over the last rows of a window, for checks against another engine ------------------------------------------
-
-
-def ema_window(d: Dialect, x: str, span: int, rows: int) -> str:
-    """EMA (not adjusted) of the last ``rows`` rows alone: sum of a (1 - a)^k x[-k], the oldest row with what is left of the weight."""
-    a = 2 / (span + 1)
-    weights = [a * (1 - a) ** (rows - 1 - k) for k in range(rows)]
-    weights[0] = (1 - a) ** (rows - 1)
-    return d.zipped(d.rolled(x, rows), weights)
-
-
-def ewm_window(d: Dialect, x: str, span: int, rows: int) -> str:
-    """Adjusted exponential mean of the last ``rows`` rows."""
-    raw = [(1 - 2 / (span + 1)) ** (rows - 1 - k) for k in range(rows)]
-    return d.zipped(d.rolled(x, rows), [r / sum(raw) for r in raw])
-
-
-def windowed_ema(d: Dialect) -> list[dict]:
-    """Moving-average convergence and its kin over bounded histories of 60 rows."""
-    rows = 60
-    first = {f"ema_{s}": ema_window(d, "p", s, rows) for s in (10, 12, 20, 26, 40, 50)} | {f"ewm_{s}": ewm_window(d, "p", s, rows) for s in (10, 12, 20, 26, 40, 50)}
-    pairs = ((12, 26), (10, 20), (20, 40), (20, 50))
-    second = {f"macd_line_{f}_{s}": f"ema_{f} - ema_{s}" for f, s in pairs} | {f"ppo_{f}_{s}": f"100 * {d.div(f'ewm_{f} - ewm_{s}', f'ewm_{s}')}" for f, s in pairs} | {f"apo_{f}_{s}": f"ewm_{f} - ewm_{s}" for f, s in pairs}
-    third = {f"macd_signal_{f}_{s}": ema_window(d, f"macd_line_{f}_{s}", 9, 30) for f, s in pairs} | {f"ppo_signal_{f}_{s}": ewm_window(d, f"ppo_{f}_{s}", 9, 30) for f, s in pairs}
-    return [first, second, third, {f"macd_hist_{f}_{s}": f"macd_line_{f}_{s} - macd_signal_{f}_{s}" for f, s in pairs} | {f"ppo_hist_{f}_{s}": f"ppo_{f}_{s} - ppo_signal_{f}_{s}" for f, s in pairs} | {"macd_normalized": f"100 * {d.div('macd_line_12_26', 'p')}"}]
-
-
-def windowed_oscillators(d: Dialect) -> list[dict]:
-    """RSI (Wilder), TSI and TRIX over bounded histories."""
-    first = {"dp": f"p - {d.lag('p')}"}
-    second = {"up": "CASE WHEN dp IS NOT NULL THEN greatest(dp, 0.0e0) END", "dn": "CASE WHEN dp IS NOT NULL THEN greatest(-dp, 0.0e0) END", "e1": ema_window(d, "p", 15, 60), "da": "abs(dp)"}
-    third = {"gain": ema_window(d, "up", 27, 120), "loss": ema_window(d, "dn", 27, 120), "t1": ema_window(d, "dp", 25, 60), "t2": ema_window(d, "da", 25, 60), "e2": ema_window(d, "e1", 15, 60)}
-    fourth = {"rsi_14": "CASE WHEN gain IS NULL THEN NULL WHEN loss < 1e-12 THEN 100.0e0 ELSE 100 - 100 / (1 + gain / NULLIF(loss, 0)) END", "u1": ema_window(d, "t1", 13, 40), "u2": ema_window(d, "t2", 13, 40), "e3": ema_window(d, "e2", 15, 60)}
-    return [first, second, third, fourth, {"rsi_reversion": "50 - rsi_14", "tsi": f"100 * {d.div('u1', 'u2')}", "trix": f"100 * ({d.div('e3', d.lag('e3'))} - 1)"}, {"tsi_signal": ema_window(d, "tsi", 7, 20), "trix_signal": ewm_window(d, "trix", 9, 30)}]
-
-
 # recursive filters over whole series ------------------------------------------------------------------------------------
 
 
@@ -273,7 +236,7 @@ def _both(name: str, f: Callable, **more) -> dict:
 #: Filter name to (function of one series, arguments). ``raw`` is the identity.
 FILTERS: dict[str, tuple[Callable, dict]] = (
     {"raw": (lambda x: x, {}), "regime_10_50": (regime_switch, {}), "butter_21d": (butterworth, {"cutoff": 21}), "butter_63d": (butterworth, {"cutoff": 63})}
-    | {"kalman_fast": (kalman_steady, {"q": 0.1}), "kalman_slow": (kalman_steady, {"q": 0.01}), "kalman_full": (kalman, {}), "kama_21d": (kama, {"period": 21}), "adaptive_ema": (ema, {"span": 63})}
+    | {"kalman_fast": (kalman_steady, {"q": 1e-4, "r": 1e-2}), "kalman_slow": (kalman_steady, {"q": 1e-5, "r": 1e-2}), "kalman_full": (kalman, {}), "kama_21d": (kama, {"period": 21}), "adaptive_ema": (ema, {"span": 63})}
     | _both("ema", ema) | _both("dema", dema) | _both("tema", tema) | _both("zlema", zlema) | _both("hull", hull) | _both("trima", trima) | _both("gauss", gauss)
     | _both("median", moving_median) | _both("savgol", savgol, order=3) | _both("sma", rolled_mean)
 )
@@ -323,6 +286,61 @@ def recursive(panel: DataFrame, names: list[str], value: str = "p") -> DataFrame
     return out.selectExpr("inst", "dt", *[f"nanvl({n}, NULL) AS {n}" for n in names])
 
 
+# oscillators on exponential averages --------------------------------------------------------------------------------------
+
+
+def _average(x: np.ndarray, span: float = 0, alpha: float | None = None, least: int = 0) -> np.ndarray:
+    """Not adjusted exponential mean from the first value on; null until ``least`` values are seen."""
+    a = 2 / (span + 1) if alpha is None else alpha
+    return pd.Series(x).ewm(alpha=a, adjust=False, min_periods=least).mean().to_numpy()
+
+
+PAIRS = ((12, 26), (10, 20), (20, 40), (20, 50))
+
+
+def macd_family(x: np.ndarray) -> dict[str, np.ndarray]:
+    """MACD lines, signals (9) and histograms on not adjusted averages; PPO and APO on adjusted ones."""
+    out = {}
+    for f, s in PAIRS:
+        line = _average(x, f, least=f) - _average(x, s, least=s)
+        signal = _average(line, 9, least=9)
+        fast, slow = ewm(x, f), ewm(x, s)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ppo = np.where(slow == 0, np.nan, 100 * (fast - slow) / slow)
+        after = ewm(ppo, 9)
+        out |= {f"macd_line_{f}_{s}": line, f"macd_signal_{f}_{s}": signal, f"macd_hist_{f}_{s}": line - signal, f"ppo_{f}_{s}": ppo, f"ppo_signal_{f}_{s}": after, f"ppo_hist_{f}_{s}": ppo - after, f"apo_{f}_{s}": fast - slow}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out["macd_normalized"] = np.where(x == 0, np.nan, 100 * out["macd_line_12_26"] / x)
+    return out
+
+
+def oscillator_family(x: np.ndarray) -> dict[str, np.ndarray]:
+    """RSI (14, Wilder), TSI (25, 13) and TRIX (15) with their signals."""
+    move = np.diff(x, prepend=np.nan)
+    gain, loss = (_average(np.where(np.nan_to_num(v) > 0, v, 0.0), alpha=1 / 14, least=14) for v in (move, -move))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rsi = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
+        twice = [_average(_average(v, 25, least=25), 13, least=13) for v in (move, np.abs(move))]
+        tsi = np.where(twice[1] == 0, np.nan, 100 * twice[0] / twice[1])
+        third = ewm(ewm(ewm(x, 15), 15), 15)
+        before = np.concatenate([[np.nan], third[:-1]])
+        trix = np.where(before == 0, np.nan, 100 * (third / before - 1))
+    return {"rsi_14": np.where(np.isnan(gain), np.nan, rsi), "rsi_reversion": np.where(np.isnan(gain), np.nan, 50 - rsi), "tsi": tsi, "tsi_signal": ewm(tsi, 7), "trix": trix, "trix_signal": ewm(trix, 9)}
+
+
+def oscillators(panel: DataFrame, family: Callable[[np.ndarray], dict[str, np.ndarray]], value: str = "p") -> DataFrame:
+    """(inst, dt, a column for each member of the family); one ordered pass over each instrument's whole series."""
+    kind = panel.schema["inst"].dataType.simpleString()
+    names = list(family(np.array([1.0, 2.0])))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("dt")
+        return pd.DataFrame({"inst": pdf["inst"], "dt": pdf["dt"]} | family(pdf[value].to_numpy(dtype=float)))
+
+    out = panel.select("inst", "dt", value).groupBy("inst").applyInPandas(run, f"inst {kind}, dt date, " + ", ".join(f"{n} double" for n in names))
+    return out.selectExpr("inst", "dt", *[f"nanvl({n}, NULL) AS {n}" for n in names])
+
+
 # grids -----------------------------------------------------------------------------------------------------------------
 
 
@@ -373,6 +391,4 @@ def _savgol(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
 FAMILIES = {
     "fir_filters": (fir, ("v_", "hull_in", "vh", "wma_5")),
     "rolling_median": (median, ()),
-    "macd_ppo_apo": (windowed_ema, ("ema_", "ewm_")),
-    "rsi_tsi_trix": (windowed_oscillators, ("dp", "up", "dn", "e1", "e2", "e3", "da", "gain", "loss", "t1", "t2", "u1", "u2")),
 }

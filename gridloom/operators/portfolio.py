@@ -14,7 +14,7 @@ MOST_STEPS = 1000
 
 def allocate(prices: Mapping[str, float], targets: Mapping[str, float], budget: float) -> dict[str, int]:
     """Whole shares: floors of the targets' shares of the budget, then one share at a time, the affordable one that leaves the least sum of squared
-    deviations of percentages, until none is affordable. ValueError for a missing price."""
+    deviations of the percentages of what is allocated so far, until none is affordable. ValueError for a missing price."""
     missing = [k for k in targets if not (prices.get(k) or 0) > 0]
     if missing:
         raise ValueError(f"no price for {missing}")
@@ -27,7 +27,9 @@ def allocate(prices: Mapping[str, float], targets: Mapping[str, float], budget:
             break
 
         def off(extra: str) -> float:
-            return sum(((n[k] + (k == extra)) * prices[k] / budget * 100 - targets[k] * 100) ** 2 for k in names)
+            worth = {k: (n[k] + (k == extra)) * prices[k] for k in names}
+            total = sum(worth.values())
+            return sum((worth[k] / total - targets[k]) ** 2 for k in names)
 
         n[min(can, key=lambda k: (off(k), k))] += 1
     return n

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that mark leveraged products.
-LEVERAGE_WORDS = ("leverage", "leveraged", "2x", "3x", "-1x", "-2x", "short", "inverse", "bear", "ultra", "daily", "double", "triple")
+LEVERAGE_WORDS = ("leveraged", "leverage", "2x", "3x", "ultra", "double", "triple", "levered", "geared", "x2", "x3", "200%", "300%")
 
 
 def universe(df: DataFrame, *, ids: Sequence | None = None, prefix: str | None = None, least_size: float | None = None, most_ter: float | None = None, currency: str | None = None, exchange: Sequence[str] | None = None, numeric_id: bool = False, least_months: int | None = None) -> DataFrame:
@@ -33,7 +33,7 @@ def universe(df: DataFrame, *, ids: Sequence | None = None, prefix: str | None =
     return df.where(c)
 
 
-def without_words(df: DataFrame, column: str, words: Sequence[str]) -> DataFrame:
+def without_words(df: DataFrame, column: str, words: Sequence[str] = LEVERAGE_WORDS) -> DataFrame:
     """Rows whose text holds none of the words in any case; a null is kept."""
     import re
 

@@ -110,9 +110,16 @@ def beta_adjusted(d):
 
 
 def tails(d):
-    first = {f"p95_{w}": d.full(d.quantile("r", 0.95), "r", w) for w in WINDOWS[:2]} | {f"p05_{w}": d.full(d.quantile("r", 0.05), "r", w) for w in WINDOWS[:2]} | {f"v_{w}": d.rolled("r", w) for w in WINDOWS}
-    worst = {f"cvar_95_{w}": f"{d.total(d.head(d.sorted(f'v_{w}'), n := int((w - 1) * 0.05) + 1))} / {n}.0e0" for w in WINDOWS}
-    return [first, worst | {f"tail_ratio_{w}": d.clip(d.div(f"abs(p95_{w})", f"abs(p05_{w})"), 0.0, 100.0) for w in WINDOWS[:2]}]
+    first = {f"v_{w}": d.rolled("r", w) for w in WINDOWS}
+    second = {f"s_{w}": d.sorted(f"v_{w}") for w in WINDOWS}
+
+    def quantile(w, q):
+        """Linear between the neighbouring order statistics."""
+        low = int((w - 1) * q)
+        return f"({d.item(f's_{w}', low + 1)} + ({d.item(f's_{w}', low + 2)} - {d.item(f's_{w}', low + 1)}) * {(w - 1) * q - low!r}e0)"
+
+    worst = {f"cvar_95_{w}": f"{d.total(d.head(f's_{w}', n := int((w - 1) * 0.05) + 1))} / {n}.0e0" for w in WINDOWS}
+    return [first, second, worst | {f"tail_ratio_{w}": d.clip(d.div(f"abs({quantile(w, 0.95)})", f"abs({quantile(w, 0.05)})"), 0.0, 100.0) for w in WINDOWS}]
 
 
 def path_risk(d):
@@ -123,7 +130,7 @@ def path_risk(d):
     # A float state of four fields: a[0..3] in Spark, a[1..4] in DuckDB.
     state = d.states("1", "1", "0", "0")
     step = d.states(grown, peak, f"{{3}} + {fall} * {fall}", f"least({{4}}, {fall})") if d.spark else f"[{grown}, {peak}, {{3}} + {fall} * {fall}, least({{4}}, {fall})]"
-    ws = WINDOWS[:2]
+    ws = WINDOWS
     if d.spark:
         made = {f"f_{w}": d.fold(f"v_{w}", state, step) for w in ws}
     else:
@@ -235,8 +242,8 @@ def oscillators(d):
     roc = {f"roc{n}": _ret(d, "p", n) for n in (10, 15, 20, 30)}
     second = {"k14": f"100 * {d.div('p - lo', 'hi - lo')}", "williams_r": f"-100 * {d.div('hi - p', 'hi - lo')}", "top": d.full(f"max({d.pair('p', 'row_no')})", "p", 26), "bottom": d.full(f"min({d.pair('p', '-row_no')})", "p", 26)}
     second |= {f"u{n}": d.div(d.sum("bp", n), d.sum("tr", n)) for n in (7, 14, 28)} | {f"k{n}_{m}": d.mean(f"roc{n}", m) for n, m in ((10, 10), (15, 10), (20, 10), (30, 15))}
-    third = {"stochastic": "(k14 - 50) / 50", "stoch_reversion": "100 - k14", "williams_r_reversion": "-williams_r", "aroon_up": "100 * (25 - (row_no - top.y)) / 25", "aroon_down": "100 * (25 - (row_no + bottom.y)) / 25", "ultimate_osc": "100 * (4 * u7 + 2 * u14 + u28) / 7", "kst": "100 * (k10_10 + 2 * k15_10 + 3 * k20_10 + 4 * k30_15)"}
-    return [first | roc, second, third, {"aroon_osc": "aroon_up - aroon_down", "ultimate_osc_reversion": "100 - ultimate_osc", "kst_signal": d.mean("kst", 9)}]
+    third = {"stochastic": "(k14 - 50) / 50", "stoch_reversion": "50 - k14", "williams_r_reversion": "williams_r + 50", "aroon_up": "100 * (25 - (row_no - top.y)) / 25", "aroon_down": "100 * (25 - (row_no + bottom.y)) / 25", "ultimate_osc": "100 * (4 * u7 + 2 * u14 + u28) / 7", "kst": "100 * (k10_10 + 2 * k15_10 + 3 * k20_10 + 4 * k30_15)"}
+    return [first | roc, second, third, {"aroon_osc": "aroon_up - aroon_down", "ultimate_osc_reversion": "50 - ultimate_osc", "kst_signal": d.mean("kst", 9)}]
 
 
 def reversion(d):
@@ -284,7 +291,7 @@ FAMILIES = {
     "sortino_downside": (downside, ("down#", "mean_")),
     "treynor_omega_payoff": (risk_adjusted, ("gain#", "loss", "won", "win#", "lost", "bt_", "mu_", "g_", "l_", "s_", "aw_", "al_")),
     "beta_adjusted_rs": (beta_adjusted, ("m", "c", "rs", "bt_")),
-    "cvar_tail_ratio": (tails, ("p95", "p05", "v_")),
+    "cvar_tail_ratio": (tails, ("v_", "s_")),
     "ulcer_calmar_recovery": (path_risk, ("v_", "sr_", "f_")),
     "capture_ratios": (capture, ("up_g", "up_h", "down_g", "down_h")),
     "stability_r2": (stability, ("lr", "row_no", "cum")),

@@ -59,6 +59,71 @@ def ema_recursive(spark, sf_dir):
 QUERIES["ema_recursive"] = ema_recursive
 SQL["ema_recursive"] = f"WITH RECURSIVE {panels.ctes('regional', True)}, {_EMA} SELECT inst, dt, round(e, 6) + 0.0e0 AS ema_21d FROM walk"
 
+def _walked(states: dict[str, tuple[str, str]], columns: dict[str, str], digits: int = 4) -> str:
+    """A recursive query over each instrument's prices, row by row. states: name to (value at row 1, value at a later row from w (the row before) and r (this row)); columns: over the states, p and i."""
+    rows = "rows0 AS (SELECT inst, dt, p, lag(p) OVER (PARTITION BY inst ORDER BY dt) AS b, row_number() OVER (PARTITION BY inst ORDER BY dt) AS i FROM panel WHERE p IS NOT NULL)"
+    first = ", ".join(f"CAST({x} AS DOUBLE) AS {n}" for n, (x, _) in states.items())
+    later = ", ".join(f"CAST({x} AS DOUBLE) AS {n}" for n, (_, x) in states.items())
+    walk = f"walk AS (SELECT inst, dt, i, p, {first} FROM rows0 r WHERE i = 1 UNION ALL SELECT r.inst, r.dt, r.i, r.p, {later} FROM walk w JOIN rows0 r ON r.inst = w.inst AND r.i = w.i + 1)"
+    return f"WITH RECURSIVE {panels.ctes('regional', True)}, {rows}, {walk} SELECT inst, dt, {', '.join(f'round({x}, {digits}) + 0.0e0 AS {n}' for n, x in columns.items())} FROM walk"
+
+
+def _step(n: str, x: str, a: str) -> str:
+    return f"w.{n} + {a} * ({x} - w.{n})"
+
+
+def _macd_sql() -> str:
+    """By definition: averages y + a (x - y), and sums of q^k x over sums of q^k."""
+    states, columns = {}, {}
+    spans = sorted({s for p in filters.PAIRS for s in p})
+    for s in spans:
+        a, q = f"(2.0e0 / {s + 1})", f"(1 - 2.0e0 / {s + 1})"
+        states |= {f"e{s}": ("p", _step(f"e{s}", "r.p", a)), f"n{s}": ("p", f"w.n{s} * {q} + r.p"), f"d{s}": ("1", f"w.d{s} * {q} + 1")}
+    for f, s in filters.PAIRS:
+        line = f"({states[f'e{f}'][1]} - ({states[f'e{s}'][1]}))"
+        fast, slow = (f"(({states[f'n{k}'][1]}) / ({states[f'd{k}'][1]}))" for k in (f, s))
+        ppo = f"(100 * ({fast} - {slow}) / {slow})"
+        q = "(1 - 2.0e0 / 10)"
+        states |= {f"g{f}_{s}": ("NULL", f"CASE WHEN r.i < {s} THEN NULL WHEN r.i = {s} THEN {line} ELSE {_step(f'g{f}_{s}', line, '0.2e0')} END"), f"pn{f}_{s}": ("0", f"w.pn{f}_{s} * {q} + {ppo}"), f"pd{f}_{s}": ("1", f"w.pd{f}_{s} * {q} + 1")}
+        line, signal = f"CASE WHEN i >= {s} THEN e{f} - e{s} END", f"CASE WHEN i >= {s + 8} THEN g{f}_{s} END"
+        fast, slow = f"(n{f} / d{f})", f"(n{s} / d{s})"
+        ppo, after = f"(100 * ({fast} - {slow}) / {slow})", f"(pn{f}_{s} / pd{f}_{s})"
+        columns |= {f"macd_line_{f}_{s}": line, f"macd_signal_{f}_{s}": signal, f"macd_hist_{f}_{s}": f"({line}) - ({signal})", f"ppo_{f}_{s}": ppo, f"ppo_signal_{f}_{s}": after, f"ppo_hist_{f}_{s}": f"{ppo} - {after}", f"apo_{f}_{s}": f"{fast} - {slow}"}
+    return _walked(states, columns | {"macd_normalized": f"100 * ({columns['macd_line_12_26']}) / p"})
+
+
+def _oscillator_sql() -> str:
+    up, down, move, size = "greatest(r.p - r.b, 0)", "greatest(r.b - r.p, 0)", "(r.p - r.b)", "abs(r.p - r.b)"
+    states = {"gain": ("0", _step("gain", up, "(1.0e0 / 14)")), "loss": ("0", _step("loss", down, "(1.0e0 / 14)"))}
+    for n, x in (("m", move), ("z", size)):
+        states[f"{n}1"] = ("NULL", f"CASE WHEN r.i = 2 THEN {x} ELSE {_step(f'{n}1', x, '(2.0e0 / 26)')} END")
+        one = f"({states[f'{n}1'][1]})"
+        states[f"{n}2"] = ("NULL", f"CASE WHEN r.i < 26 THEN NULL WHEN r.i = 26 THEN {one} ELSE {_step(f'{n}2', one, '(2.0e0 / 14)')} END")
+    tsi = f"(100 * ({states['m2'][1]}) / ({states['z2'][1]}))"
+    states |= {"sn": ("0", f"CASE WHEN r.i < 38 THEN 0 ELSE w.sn * 0.75e0 + {tsi} END"), "sd": ("0", "CASE WHEN r.i < 38 THEN 0 ELSE w.sd * 0.75e0 + 1 END")}
+    q = "(1 - 2.0e0 / 16)"
+    x = "r.p"
+    for k in (1, 2, 3):
+        states |= {f"tn{k}": ("p", f"w.tn{k} * {q} + {x}"), f"td{k}": ("1", f"w.td{k} * {q} + 1")}
+        x = f"(({states[f'tn{k}'][1]}) / ({states[f'td{k}'][1]}))"
+    trix = f"(100 * ({x} / (w.tn3 / w.td3) - 1))"
+    states |= {"t": ("NULL", trix), "xn": ("0", f"w.xn * 0.8e0 + {trix}"), "xd": ("0", "w.xd * 0.8e0 + 1")}
+    rsi = "CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END"
+    columns = {"rsi_14": f"CASE WHEN i >= 14 THEN {rsi} END", "rsi_reversion": f"CASE WHEN i >= 14 THEN 50 - ({rsi}) END", "tsi": "CASE WHEN i >= 38 THEN 100 * m2 / z2 END", "tsi_signal": "CASE WHEN i >= 38 THEN sn / sd END", "trix": "t", "trix_signal": "xn / nullif(xd, 0)"}
+    return _walked(states, columns)
+
+
+def _oscillators(name, family, sql):
+    def run(spark, sf_dir):
+        out = filters.oscillators(panels.panel(spark, sf_dir, "regional", True).where("p IS NOT NULL"), family)
+        return out.selectExpr("inst", "dt", *[f"{SPARK.out(c, 4)} AS {c}" for c in out.columns[2:]])
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+_oscillators("macd_ppo_apo", filters.macd_family, _macd_sql())
+_oscillators("rsi_tsi_trix", filters.oscillator_family, _oscillator_sql())
+
 _GRID = filters.dpo_grid(range(10, 31, 10), (1.0, 1.2, 2.0))
 
 

@@ -101,13 +101,13 @@ def orphan_semi_anti(spark, sf_dir):
     return a.join(b).join(li.join(o, line, "left_anti").agg(F.count("*").alias("orphan_lines")))
 
 
-@add("isin_set_ops", "SELECT coalesce(a.s_suppkey, b.l_suppkey) AS isin, CASE WHEN b.l_suppkey IS NULL THEN 'only_old' WHEN a.s_suppkey IS NULL THEN 'only_new' ELSE 'common' END AS side FROM (SELECT DISTINCT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0) a FULL JOIN (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey % 4 <> 1) b ON a.s_suppkey = b.l_suppkey")
+@add("isin_set_ops", "SELECT coalesce(a.c_custkey, b.o_custkey) AS isin, CASE WHEN b.o_custkey IS NULL THEN 'only_old' WHEN a.c_custkey IS NULL THEN 'only_new' ELSE 'common' END AS side FROM (SELECT DISTINCT c_custkey FROM customer) a FULL JOIN (SELECT DISTINCT o_custkey FROM orders) b ON a.c_custkey = b.o_custkey")
 def isin_set_ops(spark, sf_dir):
     panels.views(spark, sf_dir)
-    return rel.set_difference(spark.table("supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("isin")), spark.table("lineitem").where("l_suppkey % 4 <> 1").select(F.col("l_suppkey").alias("isin")), "isin")
+    return rel.set_difference(spark.table("customer").select(F.col("c_custkey").alias("isin")), spark.table("orders").select(F.col("o_custkey").alias("isin")), "isin")
 
 
-_DAYS = "SELECT DISTINCT CAST(l_shipdate AS DATE) AS dt FROM lineitem WHERE day(l_shipdate) < 28"
+_DAYS = "SELECT DISTINCT CAST(l_shipdate AS DATE) AS dt FROM lineitem"
 _ENDS = f"SELECT DISTINCT CAST(last_day(dt) AS DATE) AS me FROM ({_DAYS}) q"
 _NEXT = f"SELECT me, (SELECT min(dt) FROM ({_DAYS}) d WHERE d.dt >= e.me) AS asof_day FROM ({_ENDS}) e"
 
