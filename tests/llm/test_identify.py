@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from gridloom.llm import langid
 
 WORDS = {
     "en": "the people of this small town were always ready to help each other when winter came and nobody had enough bread for their children".split(),
