@@ -13,22 +13,21 @@ from gridloom.sources import panels
 
 def allocation_integer(spark, sf_dir):
     """The vote's selection of every month, in whole shares of 100,000."""
-    panels.views(spark, sf_dir)
-    picked = spark.sql(strategy.query(SPARK, "picked", "n, dt, inst"))
-    p = panels.panel(spark, sf_dir, "monthly")
+    picked = strategy.run(spark, sf_dir, "picked", "n, dt, inst")
+    p = panels.panel(spark, sf_dir, "daily", True)
     core = p.where("inst = core").select("dt", F.col("inst").alias("core"), F.col("p").alias("core_p"))
     rows = picked.join(p.select("inst", "dt", "p"), ["inst", "dt"]).join(core, "dt")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        core, budget = int(pdf["core"].iloc[0]), 100_000.0
-        prices = {int(i): float(x) for i, x in zip(pdf["inst"], pdf["p"], strict=True)} | {core: float(pdf["core_p"].iloc[0])}
-        targets = portfolio.core_satellite(core, [int(i) for i in pdf["inst"]])
+        core, budget = pdf["core"].iloc[0], 100_000.0
+        prices = {i: float(x) for i, x in zip(pdf["inst"], pdf["p"], strict=True)} | {core: float(pdf["core_p"].iloc[0])}
+        targets = portfolio.core_satellite(core, list(pdf["inst"]))
         got = portfolio.allocate(prices, targets, budget)
         cost = {k: got[k] * prices[k] for k in got}
         spent = sum(cost.values())
         return pd.DataFrame([{"n": pdf["n"].iloc[0], "dt": pdf["dt"].iloc[0], "inst": k, "quantity": got[k], "price": prices[k], "total_cost": cost[k], "percentage": 100 * cost[k] / spent if spent else 0.0, "target": 100 * targets[k]} for k in sorted(got)])
 
-    return rows.groupBy("n", "dt").applyInPandas(run, "n long, dt date, inst long, quantity long, price double, total_cost double, percentage double, target double")
+    return rows.groupBy("n", "dt").applyInPandas(run, "n long, dt date, inst string, quantity long, price double, total_cost double, percentage double, target double")
 
 
 QUERIES["allocation_integer"] = allocation_integer

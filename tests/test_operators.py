@@ -15,7 +15,7 @@ from gridloom.sources import panels, store
 
 SF = "/root/testdata/sf0.001"
 #: A query of each kind for the quick check; the driver runs all.
-QUICK = ("min_slice_momentum_top3", "sig_returns_ratios", "sig_drawdown_family", "sig_capture_ratios", "sig_stoch_aroon_uo_kst", "fir_filters", "macd_ppo_apo", "rsi_tsi_trix", "xs_indicators_25", "asof_backward_weights", "upsert_coalesce", "dq_gap_stale", "portfolio_metrics", "ffill_bfill", "replace_facts")
+QUICK = ("min_slice_momentum_top3", "sig_returns_ratios", "sig_drawdown_family", "sig_capture_ratios", "sig_stoch_aroon_uo_kst", "fir_filters", "forward_targets", "walk_forward", "macd_ppo_apo", "rsi_tsi_trix", "xs_indicators_25", "asof_backward_weights", "upsert_coalesce", "dq_gap_stale", "portfolio_metrics", "ffill_bfill", "replace_facts")
 
 
 def same(a, b):
@@ -125,6 +125,29 @@ def test_recursive_filters():
     assert np.allclose(filters.butterworth(const, 21)[-50:], 7, atol=1e-6) and np.isnan(filters.butterworth(const, 21)[:21]).all()
     assert np.allclose(filters.kalman(const), 7) and np.allclose(filters.kama(const)[20:], 7) and np.isnan(filters.kama(const)[:20]).all()
     assert np.allclose(filters.kalman_steady(const, 0.1)[-20:], 7, atol=1e-3)
+    assert filters.get("kalman_fast")[1] == {"q": 1e-4, "r": 1e-2} and filters.get("kalman_slow")[1] == {"q": 1e-5, "r": 1e-2}
+
+
+def test_oscillators_against_pandas():
+    x = pd.Series(100 * np.exp(np.cumsum(np.random.default_rng(3).normal(0, 0.02, 300))))
+    got = filters.macd_family(x.to_numpy())
+    line = x.ewm(span=12, adjust=False, min_periods=12).mean() - x.ewm(span=26, adjust=False, min_periods=26).mean()
+    assert np.allclose(got["macd_line_12_26"], line, equal_nan=True) and np.allclose(got["macd_signal_12_26"], line.ewm(span=9, adjust=False, min_periods=9).mean(), equal_nan=True)
+    assert np.allclose(got["apo_20_50"], x.ewm(span=20).mean() - x.ewm(span=50).mean())
+    ppo = 100 * (x.ewm(span=12).mean() / x.ewm(span=26).mean() - 1)
+    assert np.allclose(got["ppo_signal_12_26"], ppo.ewm(span=9).mean())
+    got = filters.oscillator_family(x.to_numpy())
+    third = x.ewm(span=15).mean().ewm(span=15).mean().ewm(span=15).mean()
+    assert np.allclose(got["trix"], third.pct_change() * 100, equal_nan=True) and np.isnan(got["rsi_14"][:13]).all() and (got["rsi_14"][13:] <= 100).all()
+    assert np.isnan(got["tsi"][:37]).all() and not np.isnan(got["tsi"][37:]).any()
+
+
+def test_path_risk_over_a_year():
+    """All four windows are there."""
+    for program, hidden in (signals.FAMILIES["ulcer_calmar_recovery"], signals.FAMILIES["cvar_tail_ratio"]):
+        made = signals.names(program, hidden, SPARK)
+        assert all(any(n.endswith(f"_{w}") for n in made) for w in signals.WINDOWS)
+    assert {f"{n}_{w}" for n in ("ulcer_index", "calmar", "recovery_factor", "ulcer_perf") for w in signals.WINDOWS} <= set(signals.names(*signals.FAMILIES["ulcer_calmar_recovery"], SPARK))
 
 
 def test_kernel_weights():
@@ -177,6 +200,9 @@ def test_allocation_spends_what_it_can():
     n = portfolio.allocate(prices, portfolio.core_satellite("c", ["a", "b"]), 1000.0)
     left = 1000 - sum(n[k] * prices[k] for k in n)
     assert 0 <= left < min(prices.values())
+    total = sum(n[k] * prices[k] for k in n)
+    again = portfolio.allocate({"a": 10.0, "b": 7.0}, {"a": 0.5, "b": 0.5}, 41.0)
+    assert again == {"a": 2, "b": 3} and total > 900  # after two of each, one more b leaves percentages closer than one more a
     with pytest.raises(ValueError):
         portfolio.allocate({"a": 1.0}, {"a": 0.5, "b": 0.5}, 10)
 
@@ -204,6 +230,8 @@ def test_upsert_and_facts(spark):
     assert sorted(map(tuple, relational.replace_facts(facts, new, ["isin", "dt"]).collect())) == [(1, 1, 1.0), (1, 2, 7.0), (2, 1, 9.0)]
     assert sorted(map(tuple, relational.replace_facts(facts, new, ["isin", "dt"], replace=True).collect())) == [(1, 2, 7.0), (2, 1, 9.0)]
     assert relational.without_words(dim.unionByName(delta), "name", ("A",)).count() == 4
+    funds = spark.createDataFrame([("World x2",), ("Geared gold",), ("Plain",), (None,)], "name string")
+    assert [r[0] for r in relational.without_words(funds, "name").collect()] == ["Plain", None]
 
 
 def test_asof_both_ways(spark):
