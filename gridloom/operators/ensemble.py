@@ -13,13 +13,13 @@ GAIN = 0.001
 
 
 def utility(mu: list[float], p: list[float], sigma: list[float]) -> float:
-    """Mean of mu times the geometric mean of the clipped probabilities, over the root mean square of sigma."""
+    """Mean of mu times the geometric mean of the clipped probabilities, over the root mean square of sigma; minus infinity for an empty or riskless set."""
     n = len(mu)
     if not n:
-        return 0.0
+        return -math.inf
     risk = math.sqrt(sum(s * s for s in sigma) / n)
     if risk <= 0:
-        return 0.0
+        return -math.inf
     return sum(mu) / n * math.exp(sum(math.log(min(max(x, 0.01), 0.99)) for x in p) / n) / risk
 
 
@@ -36,7 +36,7 @@ def greedy(features: list[str], mu: list[float], sigma: list[float], ir: list[fl
     while rest and len(chosen) < MOST:
         best = max(rest, key=lambda i: (value([*chosen, i]), ir[i], [-ord(c) for c in features[i]]))
         new = value([*chosen, best])
-        if len(chosen) >= LEAST_SIZE and new - now <= GAIN:
+        if len(chosen) >= LEAST_SIZE and (new == now or new - now <= GAIN):
             break
         chosen.append(best)
         rest.remove(best)

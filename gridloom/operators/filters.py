@@ -13,6 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gridloom.functions.sql import Dialect
 
@@ -352,13 +353,18 @@ def dpo_grid(periods=range(10, 101, 2), divisors=None) -> dict[str, tuple[int, i
 
 def dpo_tema(panel: DataFrame, grid: dict[str, tuple[int, int]], mode: str = "lead", savgol: tuple[int, ...] = ()) -> DataFrame:
     """(inst, dt, signal, value): price shifted by the grid's shift (lead reads later prices, lag is causal) less the triple exponential average, and
-    each of them smoothed by causal polynomials. Every average is computed once per period, and equal (period, shift) pairs once."""
+    each of them smoothed by causal polynomials. A task row is one instrument and period: its average is computed once, and equal shifts once. The periods
+    are a table as small as the grid's definition."""
     kind = panel.schema["inst"].dataType.simpleString()
+    names: dict[int, list[tuple[str, int]]] = {}
+    for name, (p, k) in grid.items():
+        names.setdefault(p, []).append((name, k))
+    periods = panel.sparkSession.createDataFrame([(p,) for p in names], "period int")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("dt")
-        x = pdf["p"].to_numpy(dtype=float)
-        smooth = {p: tema(x, p) for p in {p for p, _ in grid.values()}}
+        x, p = pdf["p"].to_numpy(dtype=float), int(key[1])
+        smooth = tema(x, p)
         done: dict[tuple, np.ndarray] = {}
         parts = []
 
@@ -367,15 +373,16 @@ def dpo_tema(panel: DataFrame, grid: dict[str, tuple[int, int]], mode: str = "le
                 done[key] = make()
             parts.append(pd.DataFrame({"inst": pdf["inst"], "dt": pdf["dt"], "signal": name, "value": done[key]}))
 
-        for name, (p, k) in grid.items():
+        for name, k in names[p]:
             moved = pd.Series(x).shift(-k if mode == "lead" else k).to_numpy()
-            add(name, (p, k), lambda m=moved, p=p: m - smooth[p])
+            add(name, (k,), lambda m=moved: m - smooth)
             for w in savgol:
                 weights = np.array(savgol_weights(w))
-                add(f"{name}__savgol_{w}d_polyorder_2", (p, k, len(weights)), lambda s=done[p, k], c=weights: _savgol(s, c))
+                add(f"{name}__savgol_{w}d_polyorder_2", (k, len(weights)), lambda s=done[k,], c=weights: _savgol(s, c))
         return pd.concat(parts)
 
-    return panel.select("inst", "dt", "p").groupBy("inst").applyInPandas(run, f"inst {kind}, dt date, signal string, value double").selectExpr("inst", "dt", "signal", "nanvl(value, NULL) AS value")
+    each = panel.select("inst", "dt", "p").crossJoin(F.broadcast(periods)).groupBy("inst", "period")
+    return each.applyInPandas(run, f"inst {kind}, dt date, signal string, value double").selectExpr("inst", "dt", "signal", "nanvl(value, NULL) AS value")
 
 
 def _savgol(x: np.ndarray, weights: np.ndarray) -> np.ndarray:

@@ -98,7 +98,11 @@ def steps(d: Dialect, features: Mapping[str, str] = FEATURES, horizon: int = 1)
         "exp(sum(CASE WHEN avg_alpha > -1 THEN ln(1 + avg_alpha) END)) - 1 AS total_return, exp(sum(CASE WHEN avg_alpha > -1 THEN ln(1 + avg_alpha) END) * 12 / count(*)) - 1 AS cagr, stddev_pop(avg_alpha) AS std_pop, "
         f"{d.div('stddev_pop(avg_alpha)', 'abs(avg(avg_alpha))')} AS cv, min(avg_alpha) AS worst, max(avg_alpha) AS best, sum(CASE WHEN avg_alpha < 0 THEN 1 ELSE 0 END) AS n_negative FROM walk GROUP BY n"
     )
-    s["by_size"] = "SELECT n, avg(ir) AS mean_ir, stddev_pop(ir) AS std_ir, count(ir) AS n_cells FROM feature_ir GROUP BY n"
+    s["by_size"] = "SELECT n, avg(ir) AS mean_ir, median(ir) AS median_ir, stddev_pop(ir) AS std_ir, count(ir) AS n_cells FROM feature_ir GROUP BY n"
+    s["by_place"] = "SELECT n, row_number() OVER (ORDER BY mean_ir DESC, n) AS place, 100 * (mean_ir - max(mean_ir) OVER ()) / NULLIF(abs(max(mean_ir) OVER ()), 0) AS versus_best FROM by_size"
+    s["best_by"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS criterion, n FROM (SELECT n, row_number() OVER (ORDER BY CASE WHEN {c} IS NULL THEN 1 ELSE 0 END, {c} {way}, n) AS k FROM summary) {c}_order WHERE k = 1" for c, way in (("ir", "DESC"), ("cv", "ASC"))
+    )
     s["best_by_date"] = "SELECT n, avg(best) AS mean_best FROM (SELECT n, dt, max(ir) AS best FROM feature_ir GROUP BY n, dt) q GROUP BY n"
     return s
 

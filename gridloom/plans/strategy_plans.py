@@ -31,7 +31,9 @@ PLANS = {
     "walk_forward": ("walk", f"n, dt, n_selected, {_rounded('avg_alpha')}", ""),
     "backtest_summary": ("summary", f"n, n_months, CAST(n_negative AS BIGINT) AS n_negative, {_rounded('mean_alpha', 'std_alpha', 'hit_rate', 'ir')}, {DUCK.out('ln(1 + total_return)')} AS log_total_return, {DUCK.out('ln(1 + cagr)')} AS log_cagr", ""),
     "stability_metrics": ("summary", f"n, {_rounded('std_pop', 'cv', 'worst', 'best')}", ""),
-    "ensemble_size_stats": ("by_size", f"n, n_cells, {_rounded('mean_ir', 'std_ir', digits=2)}", ""),
+    "ensemble_size_stats": ("by_size", f"n, n_cells, {_rounded('mean_ir', 'median_ir', 'std_ir', digits=2)}", ""),
+    "ensemble_size_order": ("by_place", f"n, CAST(place AS BIGINT) AS place, {_rounded('versus_best', digits=4)}", ""),
+    "best_by_criterion": ("best_by", "criterion, n", ""),
     "ensemble_best_by_date": ("best_by_date", f"n, {_rounded('mean_best', digits=2)}", ""),
 }
 

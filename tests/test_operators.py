@@ -15,7 +15,7 @@ from gridloom.sources import panels, store
 
 SF = "/root/testdata/sf0.001"
 #: A query of each kind for the quick check; the driver runs all.
-QUICK = ("min_slice_momentum_top3", "sig_returns_ratios", "sig_drawdown_family", "sig_capture_ratios", "sig_stoch_aroon_uo_kst", "fir_filters", "forward_targets", "walk_forward", "macd_ppo_apo", "rsi_tsi_trix", "xs_indicators_25", "asof_backward_weights", "upsert_coalesce", "dq_gap_stale", "portfolio_metrics", "ffill_bfill", "replace_facts")
+QUICK = ("min_slice_momentum_top3", "sig_returns_ratios", "sig_drawdown_family", "sig_capture_ratios", "sig_stoch_aroon_uo_kst", "fir_filters", "forward_targets", "walk_forward", "macd_ppo_apo", "rsi_tsi_trix", "xs_indicators_25", "asof_backward_weights", "upsert_coalesce", "dq_gap_stale", "portfolio_metrics", "ffill_bfill", "replace_facts", "ema_dema_tema_zlema", "kalman_butterworth", "ensemble_size_stats", "ensemble_size_order", "best_by_criterion")
 
 
 def same(a, b):
