@@ -158,33 +158,29 @@ def butterworth(x, cutoff=21):
 
 
 def kama(x, period=21, fast=2, slow=30):
-    """Adaptive average: the smoothing constant follows the share of net in total movement; starts at the period-th valid value."""
+    """Adaptive average: the smoothing constant follows the share of net in total movement; starts at the period-th valid value. The past value is the nearest one there,
+    period to period + 9 rows back (none: the average stands still); only moves between two neighbouring values count."""
     lo, hi = 2 / (slow + 1), 2 / (fast + 1)
     at = np.flatnonzero(~np.isnan(x))
     y = np.full(len(x), np.nan)
     if len(at) < period:
         return y
-    f, now = pd.Series(x).ffill().to_numpy(), None
-    moves = np.abs(np.diff(f, prepend=np.nan))
-    for i in range(at[period - 1], len(x)):
-        if np.isnan(x[i]):
-            continue
-        if now is None:
-            now = x[i]
-        else:
-            past = next((f[i - k] for k in range(period, period + 10) if i - k >= 0 and not np.isnan(f[i - k])), None)
-            if past is not None:
-                total = np.nansum(moves[max(0, i - period + 1) : i + 1])
-                ratio = min(abs(x[i] - past) / total, 1.0) if total > 0 else 0.0
-                now += (ratio * (hi - lo) + lo) ** 2 * (x[i] - now)
+    moves = pd.Series(np.abs(np.diff(x, prepend=np.nan))).rolling(period, min_periods=0).sum().to_numpy()
+    now = y[at[period - 1]] = x[at[period - 1]]
+    for i in at[period:]:
+        before = x[max(0, i - period - 9) : i - period + 1]
+        before = before[~np.isnan(before)]
+        if len(before):
+            ratio = min(abs(x[i] - before[-1]) / moves[i], 1.0) if moves[i] > 1e-10 else 0.0
+            now += (ratio * (hi - lo) + lo) ** 2 * (x[i] - now)
         y[i] = now
     return y
 
 
 def regime_switch(x, fast=10, slow=50):
-    """The fast average where short volatility exceeds long, else the slow; a gap anywhere before leaves the slow one."""
-    r = pd.Series(x).diff()
-    ratio = (r.rolling(21).std() / (r.rolling(84).std() + 1e-10)).to_numpy()
+    """The fast average where the deviation of the last 21 absolute moves exceeds that of the last 84, else the slow; a gap anywhere before leaves the slow one."""
+    r = pd.Series(x).diff().abs()
+    ratio = (r.rolling(21).std(ddof=0) / (r.rolling(84).std(ddof=0) + 1e-10)).to_numpy()
     broken = np.cumsum(np.isnan(x)) > 0
     return np.where((ratio > 1) & ~broken, ema(x, fast), ema(x, slow))
 

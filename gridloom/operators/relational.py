@@ -41,6 +41,16 @@ def without_words(df: DataFrame, column: str, words: Sequence[str] = LEVERAGE_WO
     return df.where(~F.coalesce(hit, F.lit(False)))
 
 
+def require(df: DataFrame, key: str, value, size: str | None = None, least: float = 0.0) -> DataFrame:
+    """df, if it holds the instrument and that is large enough; else ValueError. Reads the rows of that key alone."""
+    found = df.where(F.col(key) == value).agg(F.count("*"), F.max(size) if size else F.lit(None)).first()
+    if not found[0]:
+        raise ValueError(f"{key} {value} is not there")
+    if size and (found[1] is None or found[1] < least):
+        raise ValueError(f"{size} of {key} {value} is {found[1]}, below {least}")
+    return df
+
+
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row for each key, the first in order."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -77,8 +87,9 @@ def delete_cascade(tables: Mapping[str, DataFrame], key: str, gone: DataFrame) -
     return {n: t.join(gone.select(key).distinct(), key, "left_anti") for n, t in tables.items()}
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, value: str, by: Sequence[str] = (), direction: str = "backward") -> DataFrame:
-    """left with the value of right's last row at or before (``backward``), or first at or after (``forward``), its ``on``, by group.
+def asof(left: DataFrame, right: DataFrame, on: str, value: str, by: Sequence[str] = (), direction: str = "backward", else_first: bool = False) -> DataFrame:
+    """left with the value of right's last row at or before (``backward``), or first at or after (``forward``), its ``on``, by group. else_first: where
+    there is none, the first value of the group.
 
     A union and one ordered window instead of a range join: rows are compared within their group only."""
     at = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType))
@@ -90,6 +101,8 @@ def asof(left: DataFrame, right: DataFrame, on: str, value: str, by: Sequence[st
         got = F.last("_v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     else:
         got = F.first("_v", True).over(Window.partitionBy(*by).orderBy(on, F.desc("_side")).rowsBetween(0, Window.unboundedFollowing))
+    if else_first:
+        got = F.coalesce(got, F.first("_v", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return at.unionByName(from_).withColumn(f"asof_{value}", got).where("_side = 1").select(*left.columns, f"asof_{value}")
 
 

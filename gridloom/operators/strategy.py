@@ -26,6 +26,8 @@ MOST_FEATURES = 10
 #: Calendar days of history before a target counts: 378 trading days and half as many again.
 HISTORY = 567
 SKIP_DATES = 12
+#: Least absolute correlation with the dated mean IR, for plain and for filtered features.
+GATE = {"bases": 0.0, "filtered": 0.1}
 FLOOR = "1e-8"
 
 
@@ -46,6 +48,20 @@ def normal_cdf(x: str) -> str:
     return f"CASE WHEN {x} >= 0 THEN 1 - 0.5e0 * {tail} ELSE 0.5e0 * {tail} END"
 
 
+def horizon_of(spec: int | str) -> tuple[int, str]:
+    """Months for a number, days for text such as 21d; ValueError for anything else."""
+    if isinstance(spec, int) and not isinstance(spec, bool):
+        return spec, "month"
+    days = re.fullmatch(r"(\d+)d", spec) if isinstance(spec, str) else None
+    if not days:
+        raise ValueError(f"a horizon is a number of months or text such as 21d, not {spec!r}")
+    return int(days[1]), "days"
+
+
+def horizon_label(spec: int | str) -> str:
+    return "{}{}".format(*horizon_of(spec))
+
+
 def _long(d: Dialect, features: Mapping[str, str]) -> str:
     """Features as rows: one pass over the panel in Spark."""
     if d.spark:

@@ -37,14 +37,14 @@ SQL["xs_indicators_25"] = text(panels.ctes("monthly"), indicators.stages(DUCK),
 def _recursive(name, chosen, digits=6):
     def run(spark, sf_dir):
         out = filters.recursive(panels.panel(spark, sf_dir, "regional"), chosen)
-        return out.select("inst", "dt", *[F.round(c, digits).alias(c) for c in chosen])
+        return out.select("inst", "dt", *[c if c == "raw" else F.round(c, digits).alias(c) for c in chosen])
 
     QUERIES[name] = run
 
 
 _recursive("ema_dema_tema_zlema", ["ema_21d", "dema_21d", "tema_21d", "zlema_21d", "ema_63d", "dema_63d", "tema_63d", "zlema_63d", "adaptive_ema"])
 _recursive("kalman_butterworth", ["kalman_fast", "kalman_slow", "kalman_full", "butter_21d", "butter_63d"], 4)
-_recursive("kama_regime", ["kama_21d", "regime_10_50", "raw"])
+_recursive("kama_regime", ["kama_21d", "regime_10_50", "raw"], 4)
 _recursive("registry_finite", ["hull_21d", "hull_63d", "trima_21d", "trima_63d", "gauss_21d", "gauss_63d", "median_21d", "median_63d", "savgol_21d", "savgol_63d", "sma_21d", "sma_63d"])
 
 #: EMA(21) over the filled panel by a recursive query, row by row.
@@ -74,7 +74,7 @@ def _walked(states: dict[str, tuple[str, str]], columns: dict[str, str], digits:
     first = ", ".join(f"CAST({x} AS DOUBLE) AS {n}" for n, (x, _) in states.items())
     later = ", ".join(f"CAST({x} AS DOUBLE) AS {n}" for n, (_, x) in states.items())
     walk = f"walk AS (SELECT inst, dt, i, p, {first} FROM rows0 r WHERE i = 1 UNION ALL SELECT r.inst, r.dt, r.i, r.p, {later} FROM walk w JOIN rows0 r ON r.inst = w.inst AND r.i = w.i + 1)"
-    return f"WITH RECURSIVE {panels.ctes('regional', filled)}, {rows}, {walk} SELECT inst, dt, {', '.join(f'round({x}, {digits}) + 0.0e0 AS {n}' for n, x in columns.items())} FROM walk"
+    return f"WITH RECURSIVE {panels.ctes('regional', filled)}, {rows}, {walk} SELECT inst, dt, {', '.join(f'{x} AS {n}' if x == 'p' else f'round({x}, {digits}) + 0.0e0 AS {n}' for n, x in columns.items())} FROM walk"
 
 
 def _step(n: str, x: str, a: str) -> str:
@@ -179,6 +179,18 @@ def _low_pass_sql() -> str:
     return _walked(states, columns, 4, _DATES, False)
 
 
+def _adaptive_sql() -> str:
+    near = ", ".join(f"lag(p, {k}) {_BACK}" for k in range(21, 31))
+    last = "(PARTITION BY inst ORDER BY dt ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+    moved = f"moved AS (SELECT *, abs(p - lag(p) {_BACK}) AS d, coalesce({near}) AS past, count(p) OVER {last.format('UNBOUNDED')} AS c FROM dates)"
+    rows = f"{_DATES.replace('rows0 AS', 'dates AS')}, {moved}, rows0 AS (SELECT *, coalesce(sum(d) OVER {last.format(20)}, 0) AS total, CASE WHEN i > 84 AND c = i THEN stddev_pop(d) OVER {last.format(20)} / (stddev_pop(d) OVER {last.format(83)} + 1e-10) END AS heat FROM moved)"
+    share = "(CASE WHEN r.total > 1e-10 THEN least(abs(r.p - r.past) / r.total, 1e0) ELSE 0e0 END * (2e0 / 3 - 2e0 / 31) + 2e0 / 31)"
+    states = {"k": ("NULL", f"CASE WHEN r.p IS NULL OR (r.c > 21 AND r.past IS NULL) THEN w.k WHEN r.c < 21 THEN NULL WHEN r.c = 21 THEN r.p ELSE w.k + {share} * {share} * (r.p - w.k) END")}
+    states |= {f"e{s}": ("f", _step(f"e{s}", "r.f", f"(2.0e0 / {s + 1})")) for s in (10, 50)}
+    return _walked(states | {"heat": ("NULL", "r.heat")}, {"kama_21d": _there("k"), "regime_10_50": _there("CASE WHEN heat > 1 THEN e10 ELSE e50 END"), "raw": "p"}, 4, rows, False)
+
+
+SQL["kama_regime"] = _adaptive_sql()
 SQL["ema_dema_tema_zlema"] = _averages_sql()
 SQL["kalman_butterworth"] = _low_pass_sql()
 

@@ -129,6 +129,16 @@ def asof_backward_weights(spark, sf_dir):
     return rel.asof(e.where("event_type = 'click'").select("user_id", "event_id", "ts"), e.where("event_type = 'purchase'").select("user_id", "ts", "value"), "ts", "value", ["user_id"])
 
 
+_AT = "(SELECT {} FROM events w WHERE w.user_id = e.user_id AND w.event_type = 'purchase' {})"
+
+
+@add("asof_weights_or_first", f"SELECT e.user_id, e.event_id, e.ts, coalesce({_AT.format('arg_max(w.value, w.ts)', 'AND w.ts <= e.ts')}, {_AT.format('arg_min(w.value, w.ts)', '')}) AS asof_value FROM events e WHERE e.event_type = 'click'")
+def asof_weights_or_first(spark, sf_dir):
+    """Before its first purchase a user's click takes the first one's value."""
+    e = _sql(spark, sf_dir, "SELECT user_id, event_id, ts, value, event_type FROM events")
+    return rel.asof(e.where("event_type = 'click'").select("user_id", "event_id", "ts"), e.where("event_type = 'purchase'").select("user_id", "ts", "value"), "ts", "value", ["user_id"], else_first=True)
+
+
 _PERIODS = f"SELECT row_number() OVER (ORDER BY asof_day) AS period, asof_day AS a, lead(asof_day) OVER (ORDER BY asof_day) AS z FROM (SELECT DISTINCT asof_day FROM ({_NEXT}) q WHERE asof_day IS NOT NULL) q"
 
 

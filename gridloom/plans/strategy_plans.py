@@ -19,7 +19,7 @@ def _rounded(*names: str, digits: int = 6) -> str:
 PLANS = {
     "forward_targets": ("targets", f"inst, dt, {_rounded('forward_return', 'core_return', 'forward_alpha')}, round(forward_ir, 4) + 0.0e0 AS forward_ir", ""),
     "xs_percentile_rank": ("ranks", f"inst, dt, feature, {_rounded('pct_rank')}", ""),
-    "feature_gate_corr": ("gate", f"feature, n, n_dates, {_rounded('corr')}, n_dates >= 2 AND n >= 2 AND NOT coalesce(abs(corr) < 0.01, false) AS kept", ""),
+    "feature_gate_corr": ("gate", f"feature, n, n_dates, {_rounded('corr')}, n_dates >= 2 AND n >= 2 AND NOT coalesce(abs(corr) < {strategy.GATE['bases']}, false) AS kept, n_dates >= 2 AND n >= 2 AND NOT coalesce(abs(corr) < {strategy.GATE['filtered']}, false) AS kept_filtered", ""),
     "feature_ir_topn": ("feature_ir", f"feature, dt, n, {_rounded('ir', digits=2)}", ""),
     "feature_alpha_topn": ("feature_alpha", f"feature, dt, n, {_rounded('alpha')}", ""),
     "expanding_ir_stats": ("stats", f"feature, n, dt, {_rounded('ir_mean', 'ir_std', 'hit_rate', digits=2)}", ""),

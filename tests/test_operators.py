@@ -1,5 +1,6 @@
 """Panel operators against plain loops, and every query with SQL against DuckDB on the small tables."""
 
+import datetime
 import math
 
 import duckdb
@@ -15,7 +16,7 @@ from gridloom.sources import panels, store
 
 SF = "/root/testdata/sf0.001"
 #: A query of each kind for the quick check; the driver runs all.
-QUICK = ("min_slice_momentum_top3", "sig_returns_ratios", "sig_drawdown_family", "sig_capture_ratios", "sig_stoch_aroon_uo_kst", "fir_filters", "forward_targets", "walk_forward", "macd_ppo_apo", "rsi_tsi_trix", "xs_indicators_25", "asof_backward_weights", "upsert_coalesce", "dq_gap_stale", "portfolio_metrics", "ffill_bfill", "replace_facts", "ema_dema_tema_zlema", "kalman_butterworth", "ensemble_size_stats", "ensemble_size_order", "best_by_criterion")
+QUICK = ("min_slice_momentum_top3", "sig_returns_ratios", "sig_drawdown_family", "sig_capture_ratios", "sig_stoch_aroon_uo_kst", "fir_filters", "forward_targets", "walk_forward", "macd_ppo_apo", "rsi_tsi_trix", "xs_indicators_25", "asof_backward_weights", "asof_weights_or_first", "feature_gate_corr", "upsert_coalesce", "dq_gap_stale", "portfolio_metrics", "ffill_bfill", "replace_facts", "ema_dema_tema_zlema", "kalman_butterworth", "kama_regime", "ensemble_size_stats", "ensemble_size_order", "best_by_criterion")
 
 
 def same(a, b):
@@ -276,3 +277,54 @@ def test_streaming_averages_match_the_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("means").count() == 4
+
+
+def test_kama_skips_gaps():
+    """By definition, value by value, with gaps."""
+    rng = np.random.default_rng(9)
+    x = 50 + rng.normal(0, 1, 200).cumsum()
+    x[rng.random(200) < 0.1] = np.nan
+    want, seen, now = np.full(200, np.nan), 0, None
+    for i, v in enumerate(x):
+        if np.isnan(v):
+            continue
+        seen += 1
+        if seen == 21:
+            now = v
+        elif seen > 21:
+            past = [x[i - k] for k in range(21, 31) if i - k >= 0 and not np.isnan(x[i - k])]
+            if past:
+                total = sum(abs(x[j] - x[j - 1]) for j in range(i - 20, i + 1) if j > 0 and not np.isnan(x[j]) and not np.isnan(x[j - 1]))
+                now += (min(abs(v - past[0]) / total, 1) * (2 / 3 - 2 / 31) + 2 / 31) ** 2 * (v - now)
+        if now is not None:
+            want[i] = now
+    assert np.allclose(filters.kama(x), want, equal_nan=True)
+
+
+def test_dpo_grid_is_the_definition(spark):
+    rng = np.random.default_rng(10)
+    p = 50 + rng.normal(0, 1, 120).cumsum()
+    days = [datetime.date(2020, 1, 1) + datetime.timedelta(k) for k in range(120)]
+    panel = spark.createDataFrame([(1, d, float(x)) for d, x in zip(days, p, strict=True)], "inst long, dt date, p double")
+    grid = {n: filters.dpo_grid()[n] for n in ("dpo_10d__tema__shift_1.0", "dpo_10d__tema__shift_3.0", "dpo_66d__tema__shift_2.2")}
+    for mode, sign in (("lead", 1), ("lag", -1)):
+        got = {(r["signal"], r["dt"]): r["value"] for r in filters.dpo_tema(panel, grid, mode, (11,)).collect()}
+        assert len(got) == 2 * len(grid) * 120
+        for name, (period, shift) in grid.items():
+            t = filters.tema(p, period)
+            for i in range(120):
+                j = i + sign * shift
+                want = p[j] - t[i] if 0 <= j < 120 else None
+                assert got[name, days[i]] is None if want is None else math.isclose(got[name, days[i]], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_required_instrument_and_horizons(spark):
+    df = spark.createDataFrame([("a", 5.0), ("b", None)], "isin string, fund_size double")
+    assert relational.require(df, "isin", "a", "fund_size", 5.0) is df and relational.require(df, "isin", "b") is df
+    for bad in (("c",), ("b", "fund_size"), ("a", "fund_size", 6.0)):
+        with pytest.raises(ValueError):
+            relational.require(df, "isin", *bad)
+    assert strategy.horizon_of(3) == (3, "month") and strategy.horizon_label("21d") == "21days"
+    for bad in ("3", "d", None, 1.5, True):
+        with pytest.raises(ValueError):
+            strategy.horizon_of(bad)
