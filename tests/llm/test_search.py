@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from gridloom.llm import licenses, permindex, simhash
-from gridloom.llm.components import components
+from gridloom.llm.components import components, extended
 
 
 def brute_components(x, reach=2):
@@ -164,3 +164,12 @@ def test_licenses_against_brute_force():
         for m in found:
             if m[3] == 1:
                 assert licenses._WORD.findall(text[m[1] : m[2]].encode().lower()) == finder.templates[m[0]]
+
+
+def test_components_extended_by_further_edges(spark):
+    rng = np.random.default_rng(11)
+    for n in (0, 1, 40):
+        edges = [tuple(map(int, e)) for e in rng.integers(0, 90, size=(60 + n, 2))]
+        of = lambda x: spark.createDataFrame(x, "u long, v long")
+        got = {r["node"]: r["label"] for r in extended(components(of(edges[:60])), of(edges[60:])).collect()}
+        assert got == {r["node"]: r["label"] for r in components(of(edges)).collect()}
