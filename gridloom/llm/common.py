@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Spark's own setting: a statement's shuffle files are deleted when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Statements run in here leave no shuffle files; else those of all steps stay on disk until the driver collects garbage."""
+    held = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, held)
+
+
 class Scratch:
     """A DataFrame written as a Parquet table in the shared folder: lineage ends there, and any executor can reread it.
 
@@ -53,7 +69,8 @@ class Scratch:
     def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
         self.path = f"{scratch_dir(self.spark)}/gridloom-{self.spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with tidy(self.spark):
+            df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Scratch
+from gridloom.llm.common import Scratch, tidy
 
 
 def _star(both: DataFrame, large: bool) -> DataFrame:
@@ -21,7 +21,8 @@ def _star(both: DataFrame, large: bool) -> DataFrame:
 
 def _mark(edges: DataFrame) -> tuple:
     """What tells one set of edges from another: their number and the sum of their hashes."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    with tidy(edges.sparkSession):
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
