@@ -8,6 +8,9 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,22 @@ def text_of(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[c] for c in columns])
 
 
+def parts(batches, ends_of, most: int):
+    """The batches' rows in slices of ``most`` units or one row; ends_of gives a batch's running number of units."""
+    for b in batches:
+        ends, at = ends_of(b), 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
+        pa.default_memory_pool().release_unused()  # workers are used again, so what they keep adds up
+
+
+def byte_ends(column: pa.Array) -> np.ndarray:
+    """A string column's running number of bytes."""
+    return np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the session names. Where it names none, and all runs on one machine, a local one is set; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import pieces
-from gridloom.llm.common import Scratch
+from gridloom.llm.common import Scratch, byte_ends, parts
 
 CHUNK = 32_768
 #: Units that a worker holds in each of two generations, and the longest unit that it holds.
 HELD_UNITS = 200_000
 HELD_LENGTH = 32
 #: Bytes of text encoded, and four times the ids decoded, at once.
-PART = 2_000_000
+PART = 500_000
 NEVER = float("-inf")
 
 
@@ -195,16 +195,6 @@ def border_states(matrices: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return states
 
 
-def parts(batches, ends_of, most: int):
-    """The batches' rows in slices of ``most`` units or one row; ends_of gives a batch's running number of units."""
-    for b in batches:
-        ends, at = ends_of(b), 0
-        while at < b.num_rows:
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-            yield b.slice(at, stop - at)
-            at = stop
-
-
 def _encode_giants(giants: DataFrame, vocabulary: pieces.Pieces, chunk: int) -> DataFrame:
     """(doc_id, text_hash, ids) for documents longer than a chunk."""
     k = vocabulary.longest
@@ -242,65 +232,96 @@ def _encode_giants(giants: DataFrame, vocabulary: pieces.Pieces, chunk: int) ->
     return ids.select("doc_id", "text_hash", F.flatten(F.transform("p", lambda x: x["part"])).alias("ids"))
 
 
+def _divided(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) of the documents shorter than a chunk, and of the rest."""
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    giant = F.coalesce(F.length("text") >= chunk, F.lit(False))
+    return docs.where(~giant), docs.where(giant)
+
+
+def _encoded(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
+    """Ids of a column of texts; null for a null one."""
+    rows = [None if t is None else encoder.encode(t) for t in texts.to_pylist()]
+    ends = np.cumsum([0, *[0 if r is None else len(r) for r in rows]]).astype(np.int32)
+    flat = np.concatenate([r for r in rows if r is not None] or [np.array([], dtype=np.int32)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
 def encode(docs: DataFrame, path: str = pieces.MODEL, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, text_hash, ids array<int>) for every row of docs(doc_id, text); text_hash is the text's xxhash64."""
     vocabulary = pieces.load(path)
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    giant = F.coalesce(F.length("text") >= chunk, F.lit(False))
+    small, giants = _divided(docs, chunk)
 
     def run(batches):
         encoder = Encoder(vocabulary)
-        for b in parts(batches, lambda b: np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)), PART):
-            rows = [None if t is None else encoder.encode(t) for t in b.column(1).to_pylist()]
-            ends = np.cumsum([0, *[0 if r is None else len(r) for r in rows]]).astype(np.int32)
-            flat = np.concatenate([r for r in rows if r is not None] or [np.array([], dtype=np.int32)])
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=pa.array([r is None for r in rows], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), ids], ["doc_id", "text_hash", "ids"])
+        for b in parts(batches, lambda b: byte_ends(b.column(1)), PART):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), _encoded(encoder, b.column(1))], ["doc_id", "text_hash", "ids"])
 
-    small = docs.where(~giant).select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, ids array<int>")
-    return small.unionByName(_encode_giants(docs.where(giant), vocabulary, chunk))
+    found = small.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, ids array<int>")
+    return found.unionByName(_encode_giants(giants, vocabulary, chunk))
 
 
-def decode(encoded: DataFrame, path: str = pieces.MODEL) -> DataFrame:
-    """encoded(doc_id, text_hash, ids) with ``text``."""
-    vocabulary = pieces.load(path)
-    texts = [p.encode() for p in vocabulary.text()]
-    for b, i in enumerate(vocabulary.byte_ids):
-        texts[i] = bytes([b])
-    blob = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    places = np.cumsum(lengths) - lengths
-
-    def joined(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Decoder:
+    """Texts of ids."""
+
+    def __init__(self, vocabulary: pieces.Pieces):
+        texts = [p.encode() for p in vocabulary.text()]
+        for b, i in enumerate(vocabulary.byte_ids):
+            texts[i] = bytes([b])
+        self.blob = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.places = np.cumsum(self.lengths) - self.lengths
+
+    def joined(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all pieces, without the first one of each row, and where each piece ends. first: each non-empty row's first piece."""
-        size, at = lengths[ids], places[ids]
+        size, at = self.lengths[ids], self.places[ids]
         size[first] -= 1
         at[first] += 1
         ends = np.cumsum(size)
-        return blob[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+        return self.blob[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+    def texts(self, column: pa.ListArray) -> pa.Array:
+        cut = column.offsets.to_numpy().astype(np.int64)
+        ids = column.values.to_numpy()[cut[0] : cut[-1]]
+        cut -= cut[0]
+        valid = column.is_valid()
+        data, ends = self.joined(ids, cut[:-1][cut[1:] > cut[:-1]])
+        stops = np.concatenate([[0], ends])[cut]
+        try:
+            whole = data.tobytes()
+            whole.decode()
+            out = pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(stops.tobytes()), pa.py_buffer(whole)]).cast(pa.string())
+            return pc.if_else(valid, out, pa.scalar(None, pa.string()))
+        except UnicodeDecodeError:  # ids that encode would not give
+            return pa.array([data[x:y].tobytes().decode(errors="replace") if ok else None for x, y, ok in zip(stops[:-1], stops[1:], valid.to_pylist(), strict=True)], pa.string())
+
+
+def decode(encoded: DataFrame, path: str = pieces.MODEL) -> DataFrame:
+    """encoded(doc_id, text_hash, ids) with ``text``."""
+    vocabulary = pieces.load(path)
 
     def run(batches):
+        decoder = Decoder(vocabulary)
         for b in parts(batches, lambda b: np.cumsum(pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False)), PART // 4):
-            column = b.column(2)
-            cut = column.offsets.to_numpy().astype(np.int64)
-            ids = column.values.to_numpy()[cut[0] : cut[-1]]
-            cut -= cut[0]
-            valid = column.is_valid()
-            data, ends = joined(ids, cut[:-1][cut[1:] > cut[:-1]])
-            stops = np.concatenate([[0], ends])[cut]
-            try:
-                whole = data.tobytes()
-                whole.decode()
-                out = pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(stops.tobytes()), pa.py_buffer(whole)]).cast(pa.string())
-                out = pc.if_else(valid, out, pa.scalar(None, pa.string()))
-            except UnicodeDecodeError:  # ids that encode would not give
-                out = pa.array([data[x:y].tobytes().decode(errors="replace") if ok else None for x, y, ok in zip(stops[:-1], stops[1:], valid.to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, out], ["doc_id", "text_hash", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns, decoder.texts(b.column(2))], ["doc_id", "text_hash", "ids", "text"])
 
     return encoded.select("doc_id", "text_hash", "ids").mapInArrow(run, "doc_id long, text_hash long, ids array<int>, text string")
 
 
 def checked(docs: DataFrame, path: str = pieces.MODEL, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_ids, ids, round_trip): what encode gives, and whether decode gives back the text; nulls for a null text."""
-    both = decode(encode(docs, path, chunk), path)
-    return both.select("doc_id", F.array_size("ids").cast("long").alias("n_ids"), "ids", F.when(F.col("ids").isNotNull(), F.xxhash64("text") == F.col("text_hash")).alias("round_trip"))
+    """(doc_id, n_ids, ids, round_trip): what encode gives, and whether decode gives back the text; nulls for a null text.
+
+    A document shorter than a chunk is encoded, decoded and compared by one worker; two in a row would hold twice the memory and send every text once more."""
+    vocabulary = pieces.load(path)
+    small, giants = _divided(docs, chunk)
+
+    def run(batches):
+        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        for b in parts(batches, lambda b: byte_ends(b.column(1)), PART):
+            ids = _encoded(encoder, b.column(1))
+            same = pc.equal(decoder.texts(ids), b.column(1).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.list_value_length(ids).cast(pa.int64()), ids, same], ["doc_id", "n_ids", "ids", "round_trip"])
+
+    found = small.mapInArrow(run, "doc_id long, n_ids long, ids array<int>, round_trip boolean")
+    both = decode(_encode_giants(giants, vocabulary, chunk), path)
+    return found.unionByName(both.select("doc_id", F.array_size("ids").cast("long").alias("n_ids"), "ids", F.when(F.col("ids").isNotNull(), F.xxhash64("text") == F.col("text_hash")).alias("round_trip")))
