@@ -2,8 +2,8 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. The probability of a word is the sum over all its segmentations
 of the product of their pieces' probabilities (forward algorithm); a text's is the product over its words (runs of letters, lower case, with
-a space in front). Probabilities are learned by expectation maximisation (forward-backward counts) on a
-bounded sample of labelled documents, whose words are counted by language first; texts are scored whole. The forward sums of a batch's new words run side by side in numpy.
+a space in front). Probabilities are learned by expectation maximisation (forward-backward counts) on the words of
+all labelled documents, counted by language first; texts are scored whole. The forward sums of new words run side by side in numpy, some thousands at a time.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; documents with null lang teach nothing; a letter run is
 cut every 24 letters; without any labelled document every text is ``und``; every input row gives one row; further columns are ignored.
@@ -11,7 +11,6 @@ cut every 24 letters; without any labelled document every text is ``und``; every
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 
@@ -21,21 +20,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import pieces
-from gridloom.llm.common import Scratch
+from gridloom.llm.common import Scratch, byte_ends, parts
 
 UNDETERMINED = "und"
-#: Bound on the labelled documents that the probabilities are fitted on.
-SAMPLE_DOCS = 20_000
 ROUNDS = 2
 #: Probability of a character that no piece holds, and added count of a piece.
 UNKNOWN = 1e-8
 ADDED = 0.05
-#: Words whose sums a worker holds before it starts anew.
-HELD_WORDS = 500_000
-#: Calibration of what a learned language's text looks like: bound on documents, lengths of their windows in words (powers of 2), least number of them, deviations below the
-#: median that are still taken, least deviation in nats a letter, and nats that a whole text must fall short by, so that a few words never suffice.
-CALIBRATION_DOCS = 2_000
+#: Words whose sums a worker holds before it starts anew, words whose segmentations are summed side by side, and bytes of text scored at once.
+HELD_WORDS = 250_000
+LATTICE_WORDS = 8_000
+PART = 1_000_000
+#: Calibration of what a learned language's text looks like: lengths of the windows in words (powers of 2), nats a letter to which their fit is rounded, least number of them, deviations
+#: below the median that are still taken, least deviation in nats a letter, and nats that a whole text must fall short by, so that a few words never suffice.
 WINDOWS = 9
+STEP = 0.001
 LEAST_WINDOWS = 5
 DEVIATIONS = 10.0
 LEAST_DEVIATION = 0.1
@@ -57,65 +56,102 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+class Trie:
+    """Pieces by their beginnings, as arrays: many strings are followed at once."""
+
+    def __init__(self, ids: dict[str, int]):
+        letters = sorted({c for p in ids for c in p})
+        self.codes = np.zeros(0x110000, dtype=np.int64)  # 0: in no piece
+        self.codes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        code = dict(zip(letters, range(1, len(letters) + 1), strict=True))
+        nodes, keys = {"": 0}, []
+        for p in ids:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in nodes:
+                    nodes[p[:k]] = len(nodes)
+                    keys.append(nodes[p[: k - 1]] * self.width + code[p[k - 1]])
+        order = np.argsort(np.array(keys, dtype=np.int64))
+        self.keys = np.append(np.array(keys, dtype=np.int64)[order], np.iinfo(np.int64).max)
+        self.nodes = np.append(order + 1, -1)
+        self.first = np.full(self.width, -1)
+        self.first[self.keys[self.keys < self.width]] = self.nodes[self.keys < self.width]
+        self.piece = np.full(len(nodes) + 1, -1)  # the last one: of no node
+        for p, i in ids.items():
+            self.piece[nodes[p]] = i
+
+    def next(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The nodes that follow; -1 for none."""
+        key = node * self.width + code
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.nodes[at], -1)
+
+
 class Lattice:
-    """All segmentations of a list of words: edges (from, to, piece) between character positions, by end within the word."""
-
-    def __init__(self, words: list[str], ids: dict[str, int], longest: int, unknown: int):
-        edges: list[int] = []  # first, end, piece of every edge, in the order of words
-        counts, sizes = [], []
-        get, add = ids.get, edges.extend
-        for word in words:
-            w = " " + word
-            n = len(w)
-            sizes.append(n)
-            before = len(edges)
-            for j in range(1, n + 1):
-                single = False
-                for i in range(j - longest if j > longest else 0, j):
-                    p = get(w[i:j])
-                    if p is not None:
-                        add((i, j, p))
-                        single = i == j - 1
-                if not single:
-                    add((j - 1, j, unknown))
-            counts.append((len(edges) - before) // 3)
-        e = np.array(edges, dtype=np.int64).reshape(-1, 3)
-        size = np.array(sizes, dtype=np.int64)
-        self.first = np.cumsum(size + 1) - size - 1
-        self.last = self.first + size
-        self.cells = int(size.sum() + len(size))
-        shift = np.repeat(self.first, counts)
-        self.start, self.stop, self.piece = e[:, 0] + shift, e[:, 1] + shift, e[:, 2]
-        self.by_end, self.by_start = self._levels(e[:, 1], self.stop), self._levels(e[:, 0], self.start)
-
-    @staticmethod
-    def _levels(level: np.ndarray, cell: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each level: its edges, where the runs of one cell begin among them, and the runs' cells."""
-        order = np.argsort(level, kind="stable")
-        cuts = np.searchsorted(level[order], np.arange(int(level.max()) + 2 if len(level) else 1))
-        out = []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi > lo:
-                here = order[lo:hi]
-                c = cell[here]
-                runs = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                out.append((here, runs, c[runs]))
-        return out
+    """All segmentations of a list of words: edges (start, stop, piece) between cells, the places in each word, numbered by place and then by word."""
+
+    def __init__(self, words: list[str], ids: dict[str, int] | Trie, longest: int, unknown: int):
+        trie = Trie(ids) if isinstance(ids, dict) else ids
+        n = self.n = len(words)
+        size = np.fromiter(map(len, words), dtype=np.int64, count=n) + 1
+        m = self.most = int(size.max()) if n else 0
+        grid = np.zeros((n, m), dtype=np.int64)
+        grid[np.arange(m) < size[:, None]] = trie.codes[np.frombuffer("".join([" " + w for w in words]).encode("utf-32-le"), dtype="<u4")]
+        grid = np.ascontiguousarray(grid.T)
+        self.first = np.arange(n)
+        self.last = size * n + self.first
+        self.cells = (m + 1) * n
+        #: By place and length: the words that hold a piece there, each once, and the pieces.
+        self.edges: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for i in range(m):
+            here = np.flatnonzero(size > i)
+            node = trie.first[grid[i, here]]
+            piece = trie.piece[node]
+            self.edges[i, 1] = here, np.where(piece >= 0, piece, unknown)
+            for length in range(2, min(longest, m - i) + 1):
+                here, node = here[node >= 0], node[node >= 0]
+                node = trie.next(node, grid[i + length - 1, here])
+                piece = trie.piece[node]
+                if not len(here):
+                    break
+                if (piece >= 0).any():
+                    self.edges[i, length] = here[piece >= 0], piece[piece >= 0]
+        self.lengths = range(min(longest, m), 0, -1)
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """p: piece by language; the probability of every prefix."""
-        a = np.zeros((self.cells, p.shape[1]))
-        a[self.first] = 1
-        for edges, runs, cells in self.by_end:
-            a[cells] = np.add.reduceat(a[self.start[edges]] * p[self.piece[edges]], runs)
-        return a
+        a = np.zeros((self.most + 1, self.n, p.shape[1]))
+        a[0] = 1
+        for j in range(1, self.most + 1):
+            for k in self.lengths:
+                if (e := self.edges.get((j - k, k))) is not None:
+                    a[j, e[0]] += a[j - k, e[0]] * p[e[1]]
+        return a.reshape(-1, p.shape[1])
 
     def backward(self, p: np.ndarray) -> np.ndarray:
         b = np.zeros((self.cells, p.shape[1]))
         b[self.last] = 1
-        for edges, runs, cells in reversed(self.by_start):
-            b[cells] = np.add.reduceat(b[self.stop[edges]] * p[self.piece[edges]], runs)
-        return b
+        b = b.reshape(self.most + 1, self.n, p.shape[1])
+        for i in reversed(range(self.most)):
+            for k in self.lengths:
+                if (e := self.edges.get((i, k))) is not None:
+                    b[i, e[0]] += b[i + k, e[0]] * p[e[1]]
+        return b.reshape(-1, p.shape[1])
+
+    def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in words of the given weights; p, weight, result: by language."""
+        a, b = (x.reshape(self.most + 1, self.n, -1) for x in (self.forward(p), self.backward(p)))
+        weight = weight / np.maximum(b[0], 1e-300)
+        total = np.zeros(p.shape)
+        pieces_, shares = [], []
+        for (i, k), (at, piece) in self.edges.items():
+            pieces_.append(piece)
+            shares.append(a[i, at] * p[piece] * b[i + k, at] * weight[at])
+        if pieces_:
+            piece, share = np.concatenate(pieces_), np.concatenate(shares)
+            for k in range(p.shape[1]):
+                total[:, k] = np.bincount(piece, share[:, k], minlength=len(p))
+        return total
 
 
 def vocabulary(path: str = pieces.MODEL) -> tuple[dict[str, int], int]:
@@ -125,8 +161,8 @@ def vocabulary(path: str = pieces.MODEL) -> tuple[dict[str, int], int]:
     return {p: i for i, p in enumerate(use)}, max(map(len, use))
 
 
-def fit(docs: DataFrame, path: str = pieces.MODEL, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> dict:
-    """Learns from docs(doc_id, text, lang) with non-null lang. Returns languages, log priors and piece probabilities (numpy)."""
+def fit(docs: DataFrame, path: str = pieces.MODEL, rounds: int = ROUNDS) -> dict:
+    """Learns from all docs(doc_id, text, lang) with text and lang. Returns languages, log priors and piece probabilities (numpy)."""
     docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     langs, n = sorted(counts), sum(counts.values())
@@ -135,93 +171,114 @@ def fit(docs: DataFrame, path: str = pieces.MODEL, sample_docs: int = SAMPLE_DOC
     rank = np.arange(v)
     p = np.repeat((1 / (rank + 10.0))[:, None], max(1, len(langs)), axis=1)
     p = np.vstack([p / p.sum(axis=0), np.full((1, p.shape[1]), UNKNOWN)])
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, sample_docs / max(1, n))))
+    trie = Trie(ids)
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{1,24}"), F.lit(0)))
-    seen = Scratch(sample.select("lang", words.alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n")).select("word", "lang", "n"), "words").df
+    held = Scratch(docs.select("lang", words.alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n")).select("word", "lang", "n"), "words")
     for _ in range(rounds if langs else 0):
-        handle = docs.sparkSession.sparkContext.broadcast((ids, p))  # sized by the vocabulary and the languages
+        handle = docs.sparkSession.sparkContext.broadcast((trie, p))  # sized by the vocabulary and the languages
 
         def expect(batches, handle=handle):
-            ids, now = handle.value
+            trie, now = handle.value
             total = np.zeros((v + 1, len(langs)))
             place = {k: i for i, k in enumerate(langs)}
-            for batch in batches:
-                found: dict[str, int] = {}
-                row = np.array([found.setdefault(w, len(found)) for w in batch.column(0).to_pylist()], dtype=np.int64)
-                weight = np.zeros((len(found), len(langs)))
-                np.add.at(weight, (row, np.array([place[k] for k in batch.column(1).to_pylist()], dtype=np.int64)), batch.column(2).to_numpy())
-                lattice = Lattice(list(found), ids, longest, v)
-                a, b = lattice.forward(now), lattice.backward(now)
-                weight /= np.maximum(a[lattice.last], 1e-300)
-                word = np.repeat(np.arange(len(found)), np.diff(np.append(lattice.first, lattice.cells)))
-                share = a[lattice.start] * now[lattice.piece] * b[lattice.stop] * weight[word[lattice.start]]
-                for k in range(len(langs)):
-                    total[:, k] += np.bincount(lattice.piece, share[:, k], minlength=v + 1)
+            for whole in batches:
+                for at in range(0, whole.num_rows, LATTICE_WORDS):
+                    batch = whole.slice(at, LATTICE_WORDS)
+                    found: dict[str, int] = {}
+                    row = np.array([found.setdefault(w, len(found)) for w in batch.column(0).to_pylist()], dtype=np.int64)
+                    weight = np.zeros((len(found), len(langs)))
+                    np.add.at(weight, (row, np.array([place[k] for k in batch.column(1).to_pylist()], dtype=np.int64)), batch.column(2).to_numpy())
+                    total += Lattice(list(found), trie, longest, v).expected(now, weight)
             piece, lang = np.nonzero(total[:v])
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
-        sums = seen.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
+        sums = held.df.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
         t = sums.toPandas()
         got = np.zeros((v, len(langs)))
         got[t["piece"].to_numpy(), t["lang"].to_numpy()] = t["n"].to_numpy()
         got += ADDED
         p = np.vstack([got / got.sum(axis=0), np.full((1, len(langs)), UNKNOWN)])
+    held.drop()
     return {"langs": langs, "prior": np.log(np.array([counts[k] / n for k in langs])) if langs else np.array([]), "p": p, "ids": ids, "longest": longest}
 
 
+class _Numbers(dict):
+    """Words to numbers; new ones get the next and are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
+class Scorer:
+    """Log probabilities of words by language, held while they recur."""
+
+    def __init__(self, trie: Trie, p: np.ndarray, longest: int):
+        self.trie, self.p, self.longest = trie, p, longest
+        self.numbers, self.logs = _Numbers(), np.zeros((0, p.shape[1] + 1))
+
+    def numbered(self, runs: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Each run of words as rows of the table, and the table: log probability by language, then letters."""
+        if len(self.numbers) > HELD_WORDS:
+            self.numbers, self.logs = _Numbers(), self.logs[:0]
+        get = self.numbers.__getitem__
+        rows = [np.fromiter(map(get, words), dtype=np.int64, count=len(words)) for words in runs]
+        fresh, found = self.numbers.fresh, [self.logs]
+        for at in range(0, len(fresh), LATTICE_WORDS):
+            some = fresh[at : at + LATTICE_WORDS]
+            lattice = Lattice(some, self.trie, self.longest, len(self.p) - 1)
+            found.append(np.column_stack([np.log(np.maximum(lattice.forward(self.p)[lattice.last], 1e-300)), np.fromiter(map(len, some), dtype=np.float64, count=len(some))]))
+        if fresh:
+            self.numbers.fresh, self.logs = [], np.concatenate(found)
+        return rows, self.logs
+
+    def sums(self, runs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each run of words by language, and its letters."""
+        rows, logs = self.numbered(runs)
+        sizes = np.array([len(r) for r in rows], dtype=np.int64)
+        out = np.zeros((len(rows), logs.shape[1]))
+        if sizes.any():
+            out[sizes > 0] = np.add.reduceat(logs[np.concatenate(rows)], (np.cumsum(sizes) - sizes)[sizes > 0])
+        return out[:, :-1], out[:, -1].astype(np.int64)
+
+
 def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",), bounds: dict | None = None) -> DataFrame:
     """The carried columns, lang_pred and score for every row of docs(text, ...); with bounds, also n_words, n_letters, fit (log probability
     under lang_pred in nats a letter) and learned: whether the text is like those of that language (see ``unlike``)."""
     langs, prior, p, ids, longest = (model[k] for k in ("langs", "prior", "p", "ids", "longest"))
-    handle = docs.sparkSession.sparkContext.broadcast((ids, p.astype(np.float64)))  # sized by the vocabulary and the languages
+    handle = docs.sparkSession.sparkContext.broadcast((Trie(ids), p.astype(np.float64)))  # sized by the vocabulary and the languages
 
     def run(batches):
-        ids, p = handle.value
-        place: dict[str, int] = {}
-        logs = np.zeros((0, len(langs)))
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            at, names, scores, sizes, letters, fits = 0, [], [], [], [], []
-            while at < len(texts):  # a few texts at a time, so that words held stay bounded
-                some, fresh, size = [], {}, 0
-                if len(place) > HELD_WORDS:
-                    place, logs = {}, np.zeros((0, len(langs)))
-                while at < len(texts) and size < 200_000 and len(fresh) < 20_000:
-                    words = letter_runs((texts[at] or "").lower())
-                    for w in words:
-                        if w not in place and w not in fresh:
-                            fresh[w] = len(place) + len(fresh)
-                    some.append(words)
-                    size += len(words)
-                    at += 1
-                if fresh:
-                    lattice = Lattice(list(fresh), ids, longest, len(ids))
-                    logs = np.vstack([logs, np.log(np.maximum(lattice.forward(p)[lattice.last], 1e-300))])
-                    place.update(fresh)
-                for words in some:
-                    sizes.append(len(words))
-                    letters.append(sum(map(len, words)))
-                    fits.append(0.0)
-                    if not words or not langs:
-                        names.append(UNDETERMINED)
-                        scores.append(0.0)
-                        continue
-                    own = logs[np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
-                    total = prior + own
-                    odds = np.exp(total - total.max())
-                    best = int(np.argmax(total))
-                    names.append(langs[best])
-                    scores.append(float(odds[best] / odds.sum()))
-                    fits[-1] = float(own[best]) / letters[-1]
+        scorer = Scorer(*handle.value, longest)
+        for b in parts(batches, lambda b: byte_ends(b.column("scored_text")), PART):
+            lettered = b.column("scored_lettered").to_pylist()
+            runs = [letter_runs(t.lower()) if ok else [] for t, ok in zip(b.column("scored_text").to_pylist(), lettered, strict=True)]
+            own, letters = scorer.sums(runs)
+            sizes = np.array([len(r) for r in runs], dtype=np.int64)
+            names, scores, fits = [UNDETERMINED] * len(runs), np.zeros(len(runs)), np.zeros(len(runs))
+            told = np.flatnonzero(sizes > 0) if langs else []
+            if len(told):
+                total = prior + own[told]
+                best = total.argmax(axis=1)
+                scores[told] = 1 / np.exp(total - total.max(axis=1)[:, None]).sum(axis=1)
+                fits[told] = own[told, best] / letters[told]
+                for at, k in zip(told.tolist(), best.tolist(), strict=True):
+                    names[at] = langs[k]
             more = []
             if bounds is not None:
-                learned = [k != UNDETERMINED and not unlike(bounds, k, *x) for k, *x in zip(names, sizes, letters, fits, strict=True)]
-                more = [pa.array(sizes, pa.int64()), pa.array(letters, pa.int64()), pa.array(fits, pa.float64()), pa.array(learned, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64()), *more], [*carry, "lang_pred", "score", *(DETAILS if more else ())])
-
-    lettered = F.when(docs["text"].rlike(r"\p{L}"), docs["text"])
-    rows = docs.select(lettered.alias("scored_text"), *[docs[c] for c in carry])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+                learned = [k != UNDETERMINED and not unlike(bounds, k, *x) for k, *x in zip(names, sizes.tolist(), letters.tolist(), fits.tolist(), strict=True)]
+                more = [pa.array(sizes), pa.array(letters), pa.array(fits), pa.array(learned, pa.bool_())]
+            carried = [b.column("scored_text" if c == "text" else c) for c in carry]
+            yield pa.RecordBatch.from_arrays([*carried, pa.array(names, pa.string()), pa.array(scores), *more], [*carry, "lang_pred", "score", *(DETAILS if more else ())])
+
+    # The text goes to the workers once, whether it is carried or not.
+    rows = docs.select(docs["text"].rlike(r"\p{L}").alias("scored_lettered"), docs["text"].alias("scored_text"), *[docs[c] for c in carry if c != "text"])
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     detail = ", n_words long, n_letters long, fit double, learned boolean" if bounds is not None else ""
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double{detail}")
 
@@ -244,26 +301,47 @@ def unlike(bounds: dict, lang: str, n_words: int, n_letters: int, fit: float) ->
     return short > DEVIATIONS * deviation and short * n_letters > EVIDENCE
 
 
-def calibrate(docs: DataFrame, model: dict, sample_docs: int = CALIBRATION_DOCS) -> dict:
-    """(language, window) to median and deviation (median absolute one, scaled) of the fit of the first 1, 2, 4, ... words of labelled documents.
+def middle_of(values: np.ndarray, counts: np.ndarray) -> float:
+    """The median of values that stand so many times."""
+    order = np.argsort(values)
+    ends = np.cumsum(counts[order])
+    low, high = (values[order][np.searchsorted(ends, k, side="right")] for k in ((ends[-1] - 1) // 2, ends[-1] // 2))
+    return float(low + high) / 2
 
-    Medians hold as long as most documents with a label are in that language."""
-    docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
-    bound = F.lit(0)
-    for lang, n in counts.items():
-        bound = F.when(F.col("lang") == lang, math.ceil((1 << 20) * min(1.0, sample_docs / max(1, len(counts)) / n))).otherwise(bound)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < bound)
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"\p{L}{1,24}"), F.lit(0)), 1, 1 << (WINDOWS - 1))
-    cuts = sample.select("lang", words.alias("words")).select("lang", "words", F.explode(F.array(*[F.lit(1 << k) for k in range(WINDOWS)])).alias("n"))
-    cuts = cuts.where(F.size("words") >= F.col("n")).select("lang", "n", F.array_join(F.slice("words", F.lit(1), F.col("n")), " ").alias("text"))
-    t = predict(cuts, model, ("lang", "n"), {}).where("lang = lang_pred").select("lang", "n", "fit").toPandas()
+
+def calibrate(docs: DataFrame, model: dict) -> dict:
+    """(language, window) to median and deviation (median absolute one, scaled) of the fit of the first 1, 2, 4, ... words of all labelled documents.
+
+    Fits are counted in steps of STEP, so what the driver gets is bounded by the range of fits. Medians hold as long as most documents with a label are in that language."""
+    langs, prior, p, ids, longest = (model[k] for k in ("langs", "prior", "p", "ids", "longest"))
+    handle = docs.sparkSession.sparkContext.broadcast((Trie(ids), p.astype(np.float64)))  # sized by the vocabulary and the languages
+
+    def run(batches):
+        scorer = Scorer(*handle.value, longest)
+        place = {k: i for i, k in enumerate(langs)}
+        seen: dict[tuple[int, int, int], int] = {}
+        for b in parts(batches, lambda b: byte_ends(b.column(0)), PART):
+            rows, logs = scorer.numbered([letter_runs(t.lower())[: 1 << (WINDOWS - 1)] for t in b.column(0).to_pylist()])
+            for row, lang in zip(rows, b.column(1).to_pylist(), strict=True):
+                if not len(row):
+                    continue
+                ends = (1 << np.arange(window(len(row)) + 1)) - 1
+                sums, k = np.cumsum(logs[row], axis=0)[ends], place[lang]
+                fits = np.rint(sums[:, k] / sums[:, -1] / STEP).astype(np.int64).tolist()
+                for w in np.flatnonzero((prior + sums[:, :-1]).argmax(axis=1) == k).tolist():
+                    key = k, w, fits[w]
+                    seen[key] = seen.get(key, 0) + 1
+        rows = np.array([(*k, n) for k, n in seen.items()], dtype=np.int64).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, c])) for c in range(4)], ["lang", "w", "step", "n"])
+
+    taught = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
+    t = taught.mapInArrow(run, "lang long, w long, step long, n long").groupBy("lang", "w", "step").agg(F.sum("n").alias("n")).toPandas()
     bounds = {}
-    for (lang, n), fit in t.groupby(["lang", "n"])["fit"]:
-        if len(fit) < LEAST_WINDOWS:
-            continue
-        middle = float(fit.median())
-        bounds[lang, window(int(n))] = (middle, max(LEAST_DEVIATION, 1.4826 * float((fit - middle).abs().median())))
+    for (lang, w), x in t.groupby(["lang", "w"]):
+        fit, n = x["step"].to_numpy() * STEP, x["n"].to_numpy()
+        if n.sum() >= LEAST_WINDOWS:
+            middle = middle_of(fit, n)
+            bounds[langs[lang], int(w)] = (middle, max(LEAST_DEVIATION, 1.4826 * middle_of(np.abs(fit - middle), n)))
     return bounds
 
 
