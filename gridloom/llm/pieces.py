@@ -15,13 +15,14 @@ MARK = "▁"
 
 @dataclass(frozen=True)
 class Pieces:
-    """ids: piece to id; scores: by id; byte_ids: 256 ids of the single bytes; longest: characters; unknown: score of a character in no piece."""
+    """ids: piece to id; scores: by id; byte_ids: 256 ids of the single bytes; longest: characters; unknown: score of a character in no piece; unit: finds a text's units."""
 
     ids: dict[str, int]
     scores: list[float]
     byte_ids: list[int]
     longest: int
     unknown: float
+    unit: re.Pattern
 
     def text(self) -> list[str]:
         """Piece texts by id; bytes and control pieces are ''."""
@@ -46,8 +47,15 @@ def load(path: str = MODEL) -> Pieces:
     inner = [p for p in ids if re.search(r"[^ ] |\n", p)]
     if inner:
         raise ValueError(f"pieces that cross a word start: {inner[:3]}")
-    return Pieces(ids, scores, byte_ids, max(map(len, ids)), min(scores[i] for i in ids.values()) - 10)
+    return Pieces(ids, scores, byte_ids, max(map(len, ids)), min(scores[i] for i in ids.values()) - 10, UNIT if any(map(MIXED.search, ids)) else FINE)
 
 
 #: Every segmentation has boundaries before a space that follows another character and about a line feed; between them lie the units.
 UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
+
+#: Where no piece has a Latin letter beside an ASCII digit or mark, such places are boundaries, too; words with marks are then few units instead of many.
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-@\[-`{-~"
+MIXED = re.compile(f"[{_LETTER}][{_MARK}]|[{_MARK}][{_LETTER}]")
+_RUN = f"(?:[{_LETTER}]+|[{_MARK}]+)"
+_REST = f"(?:[^ \n{_LETTER}{_MARK}]+{_RUN}?)"
+FINE = re.compile(rf"\n| +{_RUN}?{_REST}*|{_RUN}{_REST}*|{_REST}+")

@@ -18,6 +18,8 @@ Defined results: null text gives null ids and null text; '' gives no ids; every
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,16 +38,40 @@ PART = 500_000
 NEVER = float("-inf")
 
 
+class _Held(dict):
+    """Ids of units as 32-bit integers, found when missing. Held units are in two generations; the older one goes when the newer one is full."""
+
+    def __init__(self, find):
+        self.find, self.older = find, {}
+
+    def __missing__(self, u: str) -> bytes:
+        ids = self.older.get(u)
+        if ids is None:
+            ids = self.find(u)
+        self.hold(u, ids)
+        return ids
+
+    def hold(self, u: str, ids: bytes) -> None:
+        if len(u) <= HELD_LENGTH:
+            if len(self) >= HELD_UNITS:
+                self.older = dict(self)
+                self.clear()
+            self[u] = ids
+
+
 class Encoder:
     """Best segmentations over a vocabulary."""
 
     def __init__(self, vocabulary: pieces.Pieces):
         self.v = vocabulary
-        self.held: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.units = vocabulary.unit.findall
+        self.held = _Held(self.unit)
         self.sums: dict[str, float] = {}
         #: Scores of pieces, and NEVER for what only begins one: the search ends where a string begins none.
         self.score = {p[:k]: NEVER for p in vocabulary.ids for k in range(1, len(p))} | {p: vocabulary.scores[i] for p, i in vocabulary.ids.items()}
+        #: The same for what ends one, and ids of pieces as 32-bit integers.
+        self.ending = {p[-k:]: NEVER for p in vocabulary.ids for k in range(1, len(p))} | {p: vocabulary.scores[i] for p, i in vocabulary.ids.items()}
+        self.coded = {p: array("i", [i]).tobytes() for p, i in vocabulary.ids.items()}
 
     def best(self, s: str, start: int, stop: int, last: int) -> tuple[list[float], list[int]]:
         """Best sums, and starts of the last piece, for boundaries start..last of s, with piece starts before ``stop``; indexes from start."""
@@ -90,16 +116,43 @@ class Encoder:
         return out[::-1]
 
     def unit(self, u: str) -> bytes:
-        """A unit's ids as 32-bit integers. Held units are in two generations; the older one goes when the newer one is full."""
-        ids = self.older.get(u)
-        if ids is None:
-            _, came = self.best(u, 0, len(u), len(u))
-            ids = np.array(self.trace(u, 0, came, len(u)), dtype="<i4").tobytes()
-        if len(u) <= HELD_LENGTH:
-            if len(self.held) >= HELD_UNITS:
-                self.older, self.held = self.held, {}
-            self.held[u] = ids
-        return ids
+        """A unit's ids as 32-bit integers."""
+        _, came = self.best(u, 0, len(u), len(u))
+        return array("i", self.trace(u, 0, came, len(u))).tobytes()
+
+    def paths(self, units: list[str]):
+        """The same for each of some short units. What one begins with like the one before it is not searched again."""
+        before, total, path = "", [0.0], [b""]
+        get, longest, unknown, coded = self.ending.get, self.v.longest, self.v.unknown, self.coded
+        for u in units:
+            same = 0
+            for x, y in zip(before, u):
+                if x != y:
+                    break
+                same += 1
+            del total[same + 1 :], path[same + 1 :]
+            for j in range(same + 1, len(u) + 1):
+                at = i = j - 1
+                e = get(u[i:j])
+                most = total[i] + (unknown if e is None or e == NEVER else e)
+                least = j - longest if j > longest else 0
+                while e is not None and i > least:
+                    i -= 1
+                    e = get(u[i:j])
+                    if e is not None and e + total[i] >= most:
+                        most, at = e + total[i], i
+                total.append(most)
+                piece = u[at:j]
+                path.append(path[at] + (coded.get(piece) or array("i", [self.v.byte_ids[b] for b in piece.encode()]).tobytes()))
+            before = u
+            yield path[-1]
+
+    def learn(self, rows: list[list[str]]) -> None:
+        """Holds the new units of some rows, found in sorted order."""
+        held, older = self.held, self.held.older
+        new = sorted(u for u in set().union(*rows) if u not in held and u not in older and len(u) <= HELD_LENGTH)
+        for u, ids in zip(new, self.paths(new), strict=True):
+            self.held.hold(u, ids)
 
     def sum_of(self, u: str) -> float:
         """A unit's best sum."""
@@ -115,8 +168,7 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.array([], dtype=np.int32)
-        slow = self.unit
-        return np.frombuffer(b"".join([self.held.get(u) or slow(u) for u in pieces.UNIT.findall(" " + text)]), dtype="<i4")
+        return np.frombuffer(b"".join(map(self.held.__getitem__, self.units(" " + text))), dtype="<i4")
 
     @staticmethod
     def places(came: list[int], start: int, end: int) -> list[int]:
@@ -141,7 +193,7 @@ class Encoder:
                         found.setdefault(b - core, []).append((self.places(came, a, b - a), a, total[b - a]))
             return [(a, b, t, rank) for b, paths in found.items() for rank, (_, a, t) in enumerate(sorted(paths))]
         first, last = starts[0], starts[-1]
-        middle = sum(map(self.sum_of, pieces.UNIT.findall(s[first:last])))
+        middle = sum(map(self.sum_of, self.units(s[first:last])))
         tail, _ = self.best(s, last, core, reach)
         paths = []
         for a in range(entry + 1):
@@ -150,10 +202,9 @@ class Encoder:
                 paths.append((self.places(came, a, first - a), a, head[first - a]))
         return [(a, b - core, t + middle + tail[b - last], rank) for rank, (_, a, t) in enumerate(sorted(paths)) for b in range(core, reach + 1) if tail[b - last] > NEVER]
 
-    @staticmethod
-    def _sure(part: str, least: int) -> list[int]:
+    def _sure(self, part: str, least: int) -> list[int]:
         """Places in a part, from ``least`` and 1 on, that no piece can cross."""
-        return [m.start() for m in pieces.UNIT.finditer(part) if m.start() >= max(1, least)]
+        return [m.start() for m in self.v.unit.finditer(part) if m.start() >= max(1, least)]
 
     def between(self, s: str, core: int, state_in: int, state_out: int) -> np.ndarray:
         """Ids of a chunk's best path between two border states."""
@@ -166,7 +217,7 @@ class Encoder:
         head = self.trace(s, state_in, came, first - state_in)
         _, came = self.best(s, last, core, end)
         tail = self.trace(s, last, came, end - last)
-        middle = b"".join([self.held.get(u) or self.unit(u) for u in pieces.UNIT.findall(s[first:last])])
+        middle = b"".join(map(self.held.__getitem__, self.units(s[first:last])))
         return np.concatenate([np.array(head, dtype="<i4"), np.frombuffer(middle, dtype="<i4"), np.array(tail, dtype="<i4")])
 
 
@@ -241,10 +292,11 @@ def _divided(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
 
 def _encoded(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
     """Ids of a column of texts; null for a null one."""
-    rows = [None if t is None else encoder.encode(t) for t in texts.to_pylist()]
-    ends = np.cumsum([0, *[0 if r is None else len(r) for r in rows]]).astype(np.int32)
-    flat = np.concatenate([r for r in rows if r is not None] or [np.array([], dtype=np.int32)])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=pa.array([r is None for r in rows], pa.bool_()))
+    rows = [encoder.units(" " + t) if t else [] for t in texts.to_pylist()]
+    encoder.learn(rows)
+    ids = [b"".join(map(encoder.held.__getitem__, r)) for r in rows]
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32) // 4
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32()), mask=pc.is_null(texts))
 
 
 def encode(docs: DataFrame, path: str = pieces.MODEL, chunk: int = CHUNK) -> DataFrame:
